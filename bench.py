@@ -32,6 +32,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus)
+    spark.range(1000).selectExpr("sum(id)").collect()  # JVM / codegen warm-up, not timed
     out_dir = shared_dir(spark, "bench")  # under spark.checkpoint.dir (a fresh local folder only if unset)
     raw = raw_transactions(spark, sf_dir)
     raw_dups = raw_transactions(spark, sf_dir, with_duplicates=True)

@@ -47,7 +47,7 @@ def clean(raw: DataFrame, permissive: bool = False) -> DataFrame:
         F.replace(F.col("merchant"), F.lit("fraud_"), F.lit("")).alias("merchant_name"),
         F.col("merchant").alias("merchant_raw"),
         F.col("category"),
-        F.round(cast(cast("amt", "double"), "decimal(12,2)"), 2).alias("amount"),
+        F.round(cast(cast("amt", "double"), "decimal(12,2)"), 2).cast("decimal(12,2)").alias("amount"),
         F.col("first").alias("first_name"),
         F.col("last").alias("last_name"),
         F.concat(F.coalesce(F.col("first"), F.lit("")), F.lit(" "), F.coalesce(F.col("last"), F.lit(""))).alias("full_name"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,11 +103,11 @@ def state_heatmap(f: DataFrame) -> DataFrame:
 def state_risk_labels(f: DataFrame) -> DataFrame:
     """State rate vs the unweighted mean of the rounded state rates."""
     state_rates = f.groupBy("state").agg(X.fraud_rate().alias("state_fraud_rate"))
-    overall = state_rates.agg(F.avg("state_fraud_rate").alias("avg_fraud_rate"))  # exactly one row
+    # Mean over the per-state rows (one row per state), not over transactions.
+    with_avg = state_rates.withColumn("avg_fraud_rate", F.avg("state_fraud_rate").over(Window.partitionBy()))
     (hi_ratio, hi_label), (mid_ratio, mid_label) = S.STATE_RISK
     r, a = F.col("state_fraud_rate"), F.col("avg_fraud_rate")
-    from decimal import Decimal
-    return (state_rates.crossJoin(F.broadcast(overall))
+    return (with_avg
             .select("state", "state_fraud_rate", "avg_fraud_rate",
                     F.round(r - a, 4).alias("deviation_from_avg"),
                     F.when(r > a * F.lit(Decimal(str(hi_ratio))), hi_label)

@@ -10,11 +10,11 @@ distributed histogram refinement:
    equal-width histogram (count, min, max per bin) — a partial-aggregated
    shuffle of at most ``intervals x bins`` keys — and narrows every search to
    the single bin holding its rank;
-3. once an interval holds at most ``exact_limit`` rows, its distinct values
-   with counts are fetched and the rank is read off directly.
+3. once an interval holds at most ``exact_limit`` rows, a running count over
+   its distinct values (one bounded window per interval) locates each rank.
 
-Only histograms and at most ``exact_limit`` distinct values per search reach
-the driver; no group is ever gathered into one task.  Interpolation follows
+Only group counts, histograms (``intervals x bins`` rows) and the resolved
+values reach the driver; no unbounded group is ever gathered into one task.  Interpolation follows
 ``lo + (hi - lo) * frac`` with ``pos = (n - 1) * p``.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,30 @@ def _match(data, ivs, keys):
     return data.join(F.broadcast(ivs), cond, "inner")
 
 
-def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 1024,
-                      exact_limit: int = 20_000, max_groups: int = 10_000, max_rounds: int = 16) -> DataFrame:
+def _resolve_small(spark, data, keys, key_fields, intervals) -> dict:
+    """Read ranks off intervals of at most ``exact_limit`` rows, inside Spark.
+
+    Distinct values of each interval get a running count (a window over one
+    interval, so one task holds at most ``exact_limit`` values); each target
+    rank joins to the value whose cumulative range covers it.  Only the
+    resolved values reach the driver.
+    """
+    ivs = _interval_frame(spark, key_fields, intervals)
+    targets = spark.createDataFrame(
+        [(iv["iid"], rk, rk - iv["offset"]) for iv in intervals for rk in iv["ranks"]],
+        "_tiid long, _rank long, _target long")
+    counts = _match(data, ivs, keys).groupBy("_iid", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_iid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.select("_iid", "_v", (F.sum("_c").over(w) - F.col("_c")).alias("_lo"),
+                        F.sum("_c").over(w).alias("_hi"))
+    hit = cum.join(F.broadcast(targets), (cum["_iid"] == targets["_tiid"]) & (F.col("_target") >= F.col("_lo"))
+                   & (F.col("_target") < F.col("_hi")))
+    by_iid = {iv["iid"]: iv["key"] for iv in intervals}
+    return {(by_iid[r["_tiid"]], r["_rank"]): r["_v"] for r in hit.select("_tiid", "_rank", "_v").collect()}
+
+
+def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 256,
+                      exact_limit: int = 200_000, max_groups: int = 10_000, max_rounds: int = 16) -> DataFrame:
     """Per-group exact continuous percentiles.
 
     ``probs`` maps output column name -> probability.  Returns one row per
@@ -90,22 +112,7 @@ def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 10
         large = [iv for iv in open_iv if iv["cnt"] > exact_limit]
         next_iv = []
         if small:
-            ivs = _interval_frame(spark, key_fields, small)
-            vals = (_match(data, ivs, keys).groupBy("_iid", "_v").agg(F.count(F.lit(1)).alias("_c"))
-                    .collect())
-            by_iid: dict = {}
-            for row in vals:
-                by_iid.setdefault(row["_iid"], []).append((row["_v"], row["_c"]))
-            for iv in small:
-                seq = sorted(by_iid.get(iv["iid"], []))
-                for rk in iv["ranks"]:
-                    target = rk - iv["offset"]
-                    cum = 0
-                    for v, c in seq:
-                        cum += c
-                        if cum > target:
-                            resolved[(iv["key"], rk)] = v
-                            break
+            resolved.update(_resolve_small(spark, data, keys, key_fields, small))
         if large:
             ivs = _interval_frame(spark, key_fields, large)
             width = F.col("_hi") - F.col("_lo")
