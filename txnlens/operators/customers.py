@@ -127,15 +127,16 @@ def first_vs_returning(f: DataFrame) -> DataFrame:
         F.min(F.struct("transaction_ts", "n", "fr", "amt", "amt_n")).alias("first"),
         F.sum("n").alias("n"), F.sum("fr").alias("fr"), F.sum("amt").alias("amt"), F.sum("amt_n").alias("amt_n"))
     first_label, returning_label = S.CUSTOMER_TYPE_LABELS
-    firsts = per_card.select(F.lit(first_label).alias("customer_type"),
-                             F.col("first.n").alias("n"), F.col("first.fr").alias("fr"),
-                             F.col("first.amt").alias("amt"), F.col("first.amt_n").alias("amt_n"))
-    rest = per_card.select(F.lit(returning_label).alias("customer_type"),
-                           (F.col("n") - F.col("first.n")).alias("n"), (F.col("fr") - F.col("first.fr")).alias("fr"),
-                           (F.col("amt") - F.col("first.amt")).alias("amt"),
-                           (F.col("amt_n") - F.col("first.amt_n")).alias("amt_n"))
+    # One pass over the per-card rows: each card emits its "first" and its "returning" part.
+    parts = per_card.select(F.explode(F.array(
+        F.struct(F.lit(first_label).alias("customer_type"), F.col("first.n").alias("n"),
+                 F.col("first.fr").alias("fr"), F.col("first.amt").alias("amt"),
+                 F.col("first.amt_n").alias("amt_n")),
+        F.struct(F.lit(returning_label).alias("customer_type"), (F.col("n") - F.col("first.n")).alias("n"),
+                 (F.col("fr") - F.col("first.fr")).alias("fr"), (F.col("amt") - F.col("first.amt")).alias("amt"),
+                 (F.col("amt_n") - F.col("first.amt_n")).alias("amt_n")))).alias("p")).select("p.*")
     total_n = F.sum("n")
-    return (firsts.unionByName(rest).filter(F.col("n") > 0)
+    return (parts.filter(F.col("n") > 0)
             .groupBy("customer_type")
             .agg(total_n.alias("total_txns"), F.sum("fr").alias("fraud_count"),
                  X.rate(F.sum("fr"), total_n).alias("fraud_rate_pct"),
