@@ -84,7 +84,12 @@ def distance_stats(f: DataFrame) -> DataFrame:
 
 
 def state_heatmap(f: DataFrame) -> DataFrame:
-    """Per-state rate, also as % of the highest state's (unrounded) rate."""
+    """Per-state rate, also as % of the highest state's (unrounded) rate.
+
+    The normalised value is the exact rational ``f * n_max * 100 / (n * f_max)``
+    (numerator carried at 10 decimals), rounded half-up once, so no
+    intermediate decimal rounding can move the last digit.
+    """
     n, fc = X.n_rows(), F.sum("is_fraud")
     per_state = (f.groupBy("state")
                  .agg(n.alias("total_txns"), fc.alias("fraud_txns"), X.rate(fc, n).alias("fraud_rate_pct"),
@@ -92,11 +97,13 @@ def state_heatmap(f: DataFrame) -> DataFrame:
                       F.count_distinct("card_number").alias("affected_cards"),
                       (fc * X.hundred() / n).alias("_raw_rate")))
     # The window runs over the aggregated rows (one per state), never over raw rows.
-    top = F.max("_raw_rate").over(Window.partitionBy())
-    return (per_state.select(
+    top = F.max_by(F.struct(F.col("fraud_txns").alias("f"), F.col("total_txns").alias("n")), F.col("_raw_rate")) \
+        .over(Window.partitionBy())
+    num = (F.col("fraud_txns").cast("decimal(38,0)") * F.col("_top.n") * 100).cast("decimal(38,10)")
+    den = F.col("total_txns").cast("decimal(38,0)") * F.col("_top.f")
+    return (per_state.withColumn("_top", top).select(
         F.col("state").alias("state_code"), "total_txns", "fraud_txns", "fraud_rate_pct", "fraud_dollar_value",
-        "affected_cards",
-        F.round(F.col("_raw_rate") / F.nullif(top, F.lit(0)) * 100, 2).alias("fraud_rate_normalized"))
+        "affected_cards", F.round(num / F.nullif(den, F.lit(0)), 2).alias("fraud_rate_normalized"))
         .orderBy(F.desc("fraud_rate_pct"), "state_code"))
 
 
