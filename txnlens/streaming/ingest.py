@@ -51,14 +51,20 @@ def batch_category_stats(validated_df: DataFrame) -> DataFrame:
 
 
 def daily_volume_stream(features_stream: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """F5 incrementally: per-day totals, finalised once the watermark passes the day."""
-    ts = F.col("transaction_ts").cast("timestamp")
+    """F5 incrementally: per-day totals, finalised once the watermark passes the day.
+
+    Watermarks need a zoned timestamp, so the wall-clock ``transaction_ts`` is
+    mapped to the instant it denotes in UTC and back to a date by epoch day:
+    the result does not depend on the session time zone.
+    """
+    ts = F.timestamp_micros(X.epoch_micros(F.col("transaction_ts")))
+    day = F.date_from_unix_date((F.unix_seconds(F.col("day.start")) / 86400).cast("int"))
     return (features_stream.withColumn("_ts", ts).withWatermark("_ts", lateness)
             .groupBy(F.window("_ts", "1 day").alias("day"))
             .agg(X.n_rows().alias("total_txns"), X.fraud_count().alias("fraud_count"),
                  X.fraud_rate().alias("fraud_rate_pct"), X.money_sum("amount").alias("total_value"),
                  X.money_sum(X.fraud_amount()).alias("fraud_value"))
-            .select(F.to_date(F.col("day.start")).alias("transaction_date"), "total_txns", "fraud_count",
+            .select(day.alias("transaction_date"), "total_txns", "fraud_count",
                     "fraud_rate_pct", "total_value", "fraud_value"))
 
 
