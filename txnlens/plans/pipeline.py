@@ -22,19 +22,20 @@ class MaterializedStages(Stages):
     """Stages whose clean and features tables were written to storage."""
 
     def __init__(self, spark: SparkSession, raw: DataFrame, raw_dups: DataFrame | None = None,
-                 out_dir: str | None = None, partition_features_by_month: bool = False):
+                 out_dir: str | None = None, partition_features_by_month: bool = False,
+                 max_rows_per_file: int | None = 2_000_000):
         super().__init__(raw, raw_dups)
         self.out_dir = out_dir or shared_dir(spark, "txnlens")
         clean_path = f"{self.out_dir}/clean"
         features_path = f"{self.out_dir}/features"
-        write_table(cleaning.clean(raw), clean_path)
+        write_table(cleaning.clean(raw), clean_path, max_rows_per_file=max_rows_per_file)
         clean_df = spark.read.parquet(clean_path)
         feats = build_features(cleaning.validated(clean_df))
         part = None
         if partition_features_by_month:
             feats = feats.withColumn("txn_month", F.date_format("transaction_date", "yyyy-MM"))
             part = ["txn_month"]
-        write_table(feats, features_path, part)
+        write_table(feats, features_path, part, max_rows_per_file=max_rows_per_file)
         self._cache["clean"] = clean_df
         self._cache["validated"] = cleaning.validated(clean_df)
         f = spark.read.parquet(features_path)

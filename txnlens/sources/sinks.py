@@ -7,9 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
-    """CREATE TABLE AS SELECT -> Parquet files (optionally partitioned for pruning)."""
+def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite",
+                max_rows_per_file: int | None = None) -> None:
+    """CREATE TABLE AS SELECT -> Parquet files (optionally partitioned for pruning).
+
+    ``max_rows_per_file`` bounds file size without a shuffle (each write task
+    rolls over to a new file), which also bounds the scan split of later readers.
+    """
     w = df.write.mode(mode)
+    if max_rows_per_file:
+        w = w.option("maxRecordsPerFile", int(max_rows_per_file))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -25,36 +32,27 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session; a local fallback is only created
-    when it is unset (tests, laptops).
+    The setting is read from the session.  Only a ``local[...]`` session (tests,
+    a laptop) may fall back to a new temporary folder; on a cluster a
+    machine-local folder would be invisible to executors, so an unset setting
+    is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="txnlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``SparkContext.checkpoint`` has a directory; reuse the session setting."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="txnlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    sc.setCheckpointDir(base)
-    return sc.getCheckpointDir() or base
-
-
-__all__ = ["write_table", "save_as_table", "create_view", "shared_dir", "ensure_checkpoint_dir"]
+__all__ = ["write_table", "save_as_table", "create_view", "shared_dir"]
