@@ -46,10 +46,6 @@ def epoch_micros(ts) -> Column:
         F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), ts)
 
 
-def epoch_seconds(ts) -> Column:
-    return F.timestamp_diff("SECOND", F.expr(EPOCH_NTZ), col(ts))
-
-
 def flag(cond: Column) -> Column:
     """CASE WHEN cond THEN 1 ELSE 0 END (NULL condition -> 0)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
@@ -92,9 +88,14 @@ def distance_band(km) -> Column:
 
 
 def geo_distance_km(clat="customer_lat", clong="customer_long", mlat="merchant_lat", mlong="merchant_long") -> Column:
-    """Flat-earth distance in km between home and merchant."""
-    dlat = (col(mlat) - col(clat)) * S.KM_PER_DEGREE
-    dlong = (col(mlong) - col(clong)) * S.KM_PER_DEGREE * F.cos(F.radians(col(clat)))
+    """Flat-earth distance in km between home and merchant.
+
+    Coordinate differences are scaled by the *decimal* 111.0 (exact), then
+    squared in double, as the workload's DECIMAL columns are.
+    """
+    km = F.lit(S.KM_PER_DEGREE)
+    dlat = (col(mlat) - col(clat)) * km
+    dlong = (col(mlong) - col(clong)) * km * F.cos(F.radians(col(clat)))
     return F.sqrt(F.pow(dlat, 2) + F.pow(dlong, 2))
 
 
@@ -136,7 +137,3 @@ def money_avg(c) -> Column:
     """ROUND(AVG(decimal), 2) computed as an exact decimal quotient, then rounded once."""
     x = col(c)
     return F.round(F.sum(x) / F.nullif(F.count(x), F.lit(0)), 2)
-
-
-def round_double(c, scale: int) -> Column:
-    return F.round(col(c).cast("double"), scale)

@@ -9,8 +9,6 @@ duplicate ids.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +45,7 @@ def time_features(v: DataFrame) -> DataFrame:
 
 
 def _km():
-    km = Decimal("111.0")
-    dlat = (F.col("merchant_lat") - F.col("customer_lat")) * F.lit(km)
-    dlong = (F.col("merchant_long") - F.col("customer_long")) * F.lit(km) * F.cos(F.radians("customer_lat"))
-    return F.sqrt(F.pow(dlat, 2) + F.pow(dlong, 2))
+    return X.geo_distance_km()
 
 
 def geo_features(v: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ so operators never spell a label or a cut-off twice.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import types as T
 
 # Raw card-transaction file: 22 named columns plus the unnamed leading index.
@@ -47,9 +49,6 @@ RAW_TYPED_SCHEMA = T.StructType([
     T.StructField("is_fraud", T.IntegerType()),
 ])
 
-MONEY = T.DecimalType(12, 2)
-COORD = T.DecimalType(9, 6)
-
 # ---------------------------------------------------------------------------
 # Fixed values (must match the analysed workload exactly; do not reorder)
 # ---------------------------------------------------------------------------
@@ -84,7 +83,7 @@ CITY_TIER_ELSE = "Metro"
 CITY_TIER_ORDER = ("Rural", "Small Town", "Mid-size City", "Large City", "Metro")
 
 # Flat-earth distance: km per degree, "far from home" cut-off in km.
-KM_PER_DEGREE = 111.0
+KM_PER_DEGREE = Decimal("111.0")
 FAR_FROM_HOME_KM = 100
 
 # Amount buckets of the per-transaction amount feature.
