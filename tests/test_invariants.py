@@ -104,3 +104,14 @@ def test_percentiles_match_numpy(spark, exact_limit, bins):
         vals = [v for k, v in data if k == g]
         for name, p in probs.items():
             assert got[g][name] == _np_pct(vals, p), (g, name)
+
+
+def test_percentiles_heavy_tail_converge(spark):
+    rnd = random.Random(11)
+    data = [("x", float(rnd.lognormvariate(0, 4))) for _ in range(3000)] + [("x", 0.5)] * 50
+    df = spark.createDataFrame(data, "g string, v double")
+    probs = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    got = exact_percentiles(df, ["g"], "v", probs, exact_limit=40, bins=8).first()
+    vals = [v for _, v in data]
+    for name, p in probs.items():
+        assert got[name] == _np_pct(vals, p), name

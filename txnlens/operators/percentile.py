@@ -7,7 +7,7 @@ distributed histogram refinement:
 
 1. one aggregation gives ``n``, ``min`` and ``max`` per group;
 2. each round aggregates, per open search interval, a ``bins``-way
-   equal-width histogram (count, min, max per bin) — a partial-aggregated
+   equal-width (or, for wide positive ranges, log-width) histogram (count, min, max per bin) — a partial-aggregated
    shuffle of at most ``intervals x bins`` keys — and narrows every search to
    the single bin holding its rank;
 3. once an interval holds at most ``exact_limit`` rows, a running count over
@@ -64,7 +64,7 @@ def _resolve_small(spark, data, keys, key_fields, intervals) -> dict:
 
 
 def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 256,
-                      exact_limit: int = 200_000, max_groups: int = 10_000, max_rounds: int = 16) -> DataFrame:
+                      exact_limit: int = 200_000, max_groups: int = 10_000, max_rounds: int = 64) -> DataFrame:
     """Per-group exact continuous percentiles.
 
     ``probs`` maps output column name -> probability.  Returns one row per
@@ -115,9 +115,13 @@ def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 25
             resolved.update(_resolve_small(spark, data, keys, key_fields, small))
         if large:
             ivs = _interval_frame(spark, key_fields, large)
-            width = F.col("_hi") - F.col("_lo")
-            b = F.least(F.floor((F.col("_v") - F.col("_lo")) * (F.lit(float(bins)) / width)),
-                        F.lit(bins - 1)).cast("long")
+            # Equal-width bins; log-width when a positive interval spans more than
+            # ``bins``-fold, so heavy-tailed data (amounts, distances) still splits evenly.
+            lo, hi, v = F.col("_lo"), F.col("_hi"), F.col("_v")
+            linear = F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo)))
+            logw = F.floor((F.log(v) - F.log(lo)) * (F.lit(float(bins)) / (F.log(hi) - F.log(lo))))
+            use_log = (lo > 0) & (hi > lo * bins)
+            b = F.least(F.greatest(F.when(use_log, logw).otherwise(linear), F.lit(0)), F.lit(bins - 1)).cast("long")
             hist = (_match(data, ivs, keys).withColumn("_b", b).groupBy("_iid", "_b")
                     .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmn"), F.max("_v").alias("_bmx"))
                     .collect())
