@@ -59,3 +59,28 @@ def test_streaming_features_match_batch(spark):
     emitted = spark.read.parquet(f"{d}/daily")
     assert emitted.count() > 0
     assert emitted.exceptAll(daily_volume(batch)).count() == 0
+
+
+def test_month_partitioned_features_prune(spark):
+    from txnlens.plans.pipeline import MaterializedStages
+
+    st = fixture_stages(spark, SF_SMALL)
+    ms = MaterializedStages(spark, st.raw, out_dir=_fresh(), partition_features_by_month=True)
+    scan = spark.read.parquet(ms.features_path).filter("txn_month = '2024-03'")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(txn_month" in plan
+    assert scan.count() == ms.get("features").filter("month(transaction_date) = 3").count()
+    assert spark.sql("SELECT COUNT(*) FROM transaction_features").first()[0] == 862
+
+
+def test_cli_runs_selected_reports(spark, capsys):
+    import json
+
+    from txnlens.__main__ import main
+
+    st = fixture_stages(spark, SF_SMALL)
+    d = _fresh()
+    st.raw.write.parquet(f"{d}/raw")
+    main(["--input", f"{d}/raw", "--format", "parquet", "--out", f"{d}/out", "--reports", "fraud_summary"])
+    paths = json.loads(capsys.readouterr().out)
+    assert spark.read.parquet(paths["fraud_summary"]).first().total_transactions == 862

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning
 from ..operators.features import features as build_features
-from ..sources.sinks import shared_dir, write_table
+from ..sources.sinks import create_view, shared_dir, write_table
 from .catalog import CATALOG, Stages
 
+VIEW_NAMES = {"transactions_clean": "clean", "transactions_validated": "validated",
+              "transaction_features": "features"}
+
 
 class MaterializedStages(Stages):
     """Stages whose clean and features tables were written to storage."""
@@ -40,12 +43,16 @@ class MaterializedStages(Stages):
         self._cache["validated"] = cleaning.validated(clean_df)
         f = spark.read.parquet(features_path)
         self._cache["features"] = f.drop("txn_month") if partition_features_by_month else f
+        self.features_path = features_path
+        # CREATE VIEW equivalents, for ad-hoc SQL over the same tables.
+        for name, stage in VIEW_NAMES.items():
+            create_view(self._cache[stage], name)
 
 
 def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, names=None,
-            raw_dups: DataFrame | None = None) -> dict[str, str]:
+            raw_dups: DataFrame | None = None, partition_features_by_month: bool = False) -> dict[str, str]:
     """Write every report (or ``names``) as Parquet under ``out_dir``; return name -> path."""
-    stages = MaterializedStages(spark, raw, raw_dups, out_dir)
+    stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month)
     paths = {}
     for name in names or CATALOG:
         path = f"{stages.out_dir}/reports/{name}"
