@@ -1,4 +1,4 @@
-"""Batch entry point (``spark-submit -m txnlens`` / ``python -m txnlens``).
+"""Batch entry point (``python -m txnlens``, or this file given to ``spark-submit``).
 
     python -m txnlens --input s3://bucket/raw/ --format csv --out s3://bucket/fraud-out/
 
@@ -12,10 +12,10 @@ from __future__ import annotations
 import argparse
 import json
 
-from .plans.catalog import CATALOG
-from .plans.pipeline import run_all
-from .plans.session import build_session
-from .sources.raw import read_raw_csv, read_raw_parquet
+from txnlens.plans.catalog import CATALOG
+from txnlens.plans.pipeline import run_all
+from txnlens.plans.session import build_session
+from txnlens.sources.raw import read_raw_csv, read_raw_parquet
 
 
 def main(argv=None) -> None:
