@@ -76,7 +76,8 @@ def distance_stats(f: DataFrame) -> DataFrame:
                  F.round(F.min("geo_distance_km"), 2).alias("min_distance_km"),
                  F.round(F.max("geo_distance_km"), 2).alias("max_distance_km")))
     pct = exact_percentiles(f, ["is_fraud"], "geo_distance_km", {"_p50": 0.5, "_p90": 0.9})
-    return (base.join(pct, "is_fraud", "left")
+    # pct holds one row per group (bounded by exact_percentiles' group check): broadcast.
+    return (base.join(F.broadcast(pct), "is_fraud", "left")
             .select("is_fraud",
                     F.when(F.col("is_fraud") == 1, fraud_label).otherwise(legit_label).alias("label"),
                     "txn_count", "avg_distance_km", "min_distance_km", "max_distance_km",

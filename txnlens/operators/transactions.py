@@ -23,7 +23,8 @@ def amount_distribution(f: DataFrame) -> DataFrame:
     probs = {"_p25": 0.25, "_p50": 0.5, "_p75": 0.75, "_p95": 0.95}
     pct = exact_percentiles(f, ["is_fraud"], F.col("amount") * 100, probs)
     cents = {name: F.round(F.col(name), 0) / 100 for name in probs}
-    return (base.join(pct, "is_fraud", "left")
+    # pct holds one row per group (bounded by exact_percentiles' group check): broadcast.
+    return (base.join(F.broadcast(pct), "is_fraud", "left")
             .select("is_fraud",
                     F.when(F.col("is_fraud") == 1, fraud_label).otherwise(legit_label).alias("label"),
                     "txn_count", "avg_amount", "min_amount", "max_amount",
