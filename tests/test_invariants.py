@@ -115,3 +115,13 @@ def test_percentiles_heavy_tail_converge(spark):
     vals = [v for _, v in data]
     for name, p in probs.items():
         assert got[name] == _np_pct(vals, p), name
+
+
+def test_velocity_auto_picks_by_busiest_card(spark):
+    v = fixture_stages(spark, SF_SMALL).get("validated")
+    cols = ["transaction_id", "txn_count_24h", "spend_24h", "max_txn_24h"]
+    small = velocity.card_velocity(v, 24, "auto", max_rows_per_card=1)          # forces bucketed
+    large = velocity.card_velocity(v, 24, "auto")                                 # window
+    assert velocity.busiest_card_rows(v) > 1
+    assert small.select(cols).exceptAll(large.select(cols)).count() == 0
+    assert "Window" in large._jdf.queryExecution().executedPlan().toString()

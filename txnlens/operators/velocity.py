@@ -6,7 +6,7 @@ quadratic per card.  Two exact rewrites are offered:
 
 * ``method="window"`` — one range frame over ``partitionBy(card)``; a single
   shuffle, but every row of a card lands in one task.
-* ``method="bucketed"`` (default) — skew-proof.  Time is cut into buckets of
+* ``method="bucketed"`` — skew-proof.  Time is cut into buckets of
   ``window / k``.  The frame of a row in bucket ``b`` is
   (tail of bucket ``b-k``) + (whole buckets ``b-k+1 .. b-1``) + (head of ``b``).
   Whole buckets come from a per-(card, bucket) aggregate and a range frame over
@@ -14,6 +14,9 @@ quadratic per card.  Two exact rewrites are offered:
   ``(card, bucket)`` groups holding the bucket's rows plus the rows of bucket
   ``b-k`` shifted forward by one window.  Each row is shuffled at most twice
   and no task ever holds more than two buckets of one card.
+
+The default ``method="auto"`` picks between them from the measured size of the
+busiest card.
 """
 
 from __future__ import annotations
@@ -86,9 +89,23 @@ def _bucketed_method(v: DataFrame, w_us: int, k: int) -> DataFrame:
         F.coalesce(F.greatest(F.col("_px"), F.col("_ex"), F.col("_mx")), zero).alias("max_txn_24h"))
 
 
-def card_velocity(v: DataFrame, hours: int = 24, method: str = "bucketed", buckets_per_window: int | None = None) -> DataFrame:
-    """Per-transaction velocity over the card's previous ``hours`` (open interval)."""
+def busiest_card_rows(v: DataFrame) -> int:
+    """Rows of the most frequent card (one partial aggregation over the card column)."""
+    r = v.groupBy("card_number").count().agg(F.max("count")).first()[0]
+    return int(r or 0)
+
+
+def card_velocity(v: DataFrame, hours: int = 24, method: str = "auto", buckets_per_window: int | None = None,
+                  max_rows_per_card: int = 2_000_000) -> DataFrame:
+    """Per-transaction velocity over the card's previous ``hours`` (open interval).
+
+    ``method="auto"`` measures the busiest card first: if every card fits in one
+    task (at most ``max_rows_per_card`` rows) the single-shuffle per-card window
+    is used, otherwise the skew-proof bucketed plan.  Both are exact.
+    """
     w_us = hours * HOUR_US
+    if method == "auto":
+        method = "window" if busiest_card_rows(v) <= max_rows_per_card else "bucketed"
     if method == "window":
         return _window_method(v, w_us)
     k = buckets_per_window or hours
