@@ -63,23 +63,28 @@ def _resolve_small(spark, data, keys, key_fields, intervals) -> dict:
     return {(by_iid[r["_tiid"]], r["_rank"]): r["_v"] for r in hit.select("_tiid", "_rank", "_v").collect()}
 
 
-def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 256,
-                      exact_limit: int = 200_000, max_groups: int = 10_000, max_rounds: int = 64) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, extra_aggs: dict | None = None,
+                      bins: int = 256, exact_limit: int = 200_000, max_groups: int = 10_000,
+                      max_rounds: int = 64) -> DataFrame:
     """Per-group exact continuous percentiles.
 
     ``probs`` maps output column name -> probability.  Returns one row per
-    group with the key columns and one DOUBLE column per probability.  NULL
-    values are ignored, as in SQL.
+    group (at most ``max_groups``, checked) with the key columns, any
+    ``extra_aggs`` (name -> aggregate Column, evaluated in the same first pass
+    over ``df``) and one DOUBLE column per probability.  NULL values are
+    ignored, as in SQL.
     """
     spark = df.sparkSession
     keys = list(keys)
-    vcol = F.col(value) if isinstance(value, str) else value
-    data = df.select(*[F.col(k) for k in keys], vcol.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    extra_aggs = extra_aggs or {}
+    vcol = (F.col(value) if isinstance(value, str) else value).cast("double")
+    data = df.select(*[F.col(k) for k in keys], vcol.alias("_v")).filter(F.col("_v").isNotNull())
     key_fields = [data.schema[k] for k in keys]
 
-    group_rows = (data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"),
-                                          F.max("_v").alias("_mx"))
-                  .limit(max_groups + 1).collect())
+    first = df.groupBy(*keys).agg(F.count(vcol).alias("_n"), F.min(vcol).alias("_mn"), F.max(vcol).alias("_mx"),
+                                  *[c.alias(name) for name, c in extra_aggs.items()])
+    extra_fields = [first.schema[name] for name in extra_aggs]
+    group_rows = first.limit(max_groups + 1).collect()
     if len(group_rows) > max_groups:
         raise ValueError(f"exact_percentiles: more than {max_groups} groups")
 
@@ -88,9 +93,14 @@ def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 25
     open_iv: list = []  # intervals still to split: dict(key, iid, lo, hi, cnt, offset, ranks)
     plan = {}
     iid = 0
+    extras = {}
     for r in group_rows:
         gkey = tuple(r[k] for k in keys)
+        extras[gkey] = tuple(r[name] for name in extra_aggs)
         n = r["_n"]
+        if n == 0:
+            plan[gkey] = None
+            continue
         wanted = {}
         for name, p in probs.items():
             pos = (n - 1) * float(p)
@@ -156,9 +166,12 @@ def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, bins: int = 25
     for gkey, wanted in plan.items():
         vals = []
         for name in probs:
+            if wanted is None:  # group without a non-NULL value
+                vals.append(None)
+                continue
             lo, hi, frac = wanted[name]
             vlo, vhi = resolved[(gkey, lo)], resolved[(gkey, hi)]
             vals.append(vlo if lo == hi else vlo + (vhi - vlo) * frac)
-        out_rows.append(tuple(gkey) + tuple(vals))
-    schema = T.StructType(list(key_fields) + [T.StructField(name, T.DoubleType()) for name in probs])
+        out_rows.append(tuple(gkey) + extras[gkey] + tuple(vals))
+    schema = T.StructType(list(key_fields) + extra_fields + [T.StructField(name, T.DoubleType()) for name in probs])
     return spark.createDataFrame(out_rows, schema)
