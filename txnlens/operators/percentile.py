@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.local import literal_frame
+
 
 def _interval_frame(spark, key_fields, intervals):
     fields = list(key_fields) + [T.StructField("_iid", T.LongType()), T.StructField("_lo", T.DoubleType()),
                                  T.StructField("_hi", T.DoubleType())]
     rows = [tuple(iv["key"]) + (iv["iid"], iv["lo"], iv["hi"]) for iv in intervals]
-    return spark.createDataFrame(rows, T.StructType(fields))
+    return literal_frame(spark, rows, T.StructType(fields))
 
 
 def _match(data, ivs, keys):
@@ -50,9 +52,10 @@ def _resolve_small(spark, data, keys, key_fields, intervals) -> dict:
     resolved values reach the driver.
     """
     ivs = _interval_frame(spark, key_fields, intervals)
-    targets = spark.createDataFrame(
-        [(iv["iid"], rk, rk - iv["offset"]) for iv in intervals for rk in iv["ranks"]],
-        "_tiid long, _rank long, _target long")
+    targets = literal_frame(
+        spark, [(iv["iid"], rk, rk - iv["offset"]) for iv in intervals for rk in iv["ranks"]],
+        T.StructType([T.StructField("_tiid", T.LongType()), T.StructField("_rank", T.LongType()),
+                      T.StructField("_target", T.LongType())]))
     counts = _match(data, ivs, keys).groupBy("_iid", "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy("_iid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select("_iid", "_v", (F.sum("_c").over(w) - F.col("_c")).alias("_lo"),
@@ -174,4 +177,4 @@ def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, extra_aggs: di
             vals.append(vlo if lo == hi else vlo + (vhi - vlo) * frac)
         out_rows.append(tuple(gkey) + extras[gkey] + tuple(vals))
     schema = T.StructType(list(key_fields) + extra_fields + [T.StructField(name, T.DoubleType()) for name in probs])
-    return spark.createDataFrame(out_rows, schema)
+    return literal_frame(spark, out_rows, schema)

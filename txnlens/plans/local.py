@@ -1,0 +1,24 @@
+"""Small driver-known tables (search intervals, per-group results) as DataFrames.
+
+Up to ``max_literal_rows`` rows are built as an inline array of literal
+structs: a one-row Range plus ``inline`` (a JVM-only LocalTableScan-like plan,
+no Python round trip).  Larger inputs fall back to ``createDataFrame``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def literal_frame(spark: SparkSession, rows, schema: T.StructType, max_literal_rows: int = 2000) -> DataFrame:
+    rows = list(rows)
+    if len(rows) > max_literal_rows:
+        return spark.createDataFrame(rows, schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+               for row in rows]
+    out = spark.range(1).select(F.inline(F.array(*structs)))
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
