@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 from ..plans.local import literal_frame
 
 
+_RANK_SPAN = 1 << 32  # interval id and in-interval rank packed into one long
+
+
 def _interval_frame(spark, key_fields, intervals):
     fields = list(key_fields) + [T.StructField("_iid", T.LongType()), T.StructField("_lo", T.DoubleType()),
                                  T.StructField("_hi", T.DoubleType())]
@@ -46,24 +49,19 @@ def _match(data, ivs, keys):
 def _resolve_small(spark, data, keys, key_fields, intervals) -> dict:
     """Read ranks off intervals of at most ``exact_limit`` rows, inside Spark.
 
-    Distinct values of each interval get a running count (a window over one
-    interval, so one task holds at most ``exact_limit`` values); each target
-    rank joins to the value whose cumulative range covers it.  Only the
-    resolved values reach the driver.
+    Rows of each interval are numbered in value order (a window over one
+    interval, so one task holds at most ``exact_limit`` rows) and only the rows
+    at the wanted ranks are kept; just those values reach the driver.
     """
     ivs = _interval_frame(spark, key_fields, intervals)
-    targets = literal_frame(
-        spark, [(iv["iid"], rk, rk - iv["offset"]) for iv in intervals for rk in iv["ranks"]],
-        T.StructType([T.StructField("_tiid", T.LongType()), T.StructField("_rank", T.LongType()),
-                      T.StructField("_target", T.LongType())]))
-    counts = _match(data, ivs, keys).groupBy("_iid", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("_iid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.select("_iid", "_v", (F.sum("_c").over(w) - F.col("_c")).alias("_lo"),
-                        F.sum("_c").over(w).alias("_hi"))
-    hit = cum.join(F.broadcast(targets), (cum["_iid"] == targets["_tiid"]) & (F.col("_target") >= F.col("_lo"))
-                   & (F.col("_target") < F.col("_hi")))
-    by_iid = {iv["iid"]: iv["key"] for iv in intervals}
-    return {(by_iid[r["_tiid"]], r["_rank"]): r["_v"] for r in hit.select("_tiid", "_rank", "_v").collect()}
+    wanted = {}
+    for iv in intervals:
+        for rk in iv["ranks"]:
+            wanted[iv["iid"] * _RANK_SPAN + (rk - iv["offset"])] = (iv["key"], rk)
+    pos = F.row_number().over(Window.partitionBy("_iid").orderBy("_v")) - 1
+    ranked = _match(data, ivs, keys).select((F.col("_iid") * _RANK_SPAN + pos).alias("_k"), "_v")
+    hits = ranked.filter(F.col("_k").isin(list(wanted))).collect()
+    return {wanted[r["_k"]]: r["_v"] for r in hits}
 
 
 def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, extra_aggs: dict | None = None,

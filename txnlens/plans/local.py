@@ -1,24 +1,44 @@
 """Small driver-known tables (search intervals, per-group results) as DataFrames.
 
-Up to ``max_literal_rows`` rows are built as an inline array of literal
-structs: a one-row Range plus ``inline`` (a JVM-only LocalTableScan-like plan,
-no Python round trip).  Larger inputs fall back to ``createDataFrame``.
+Up to ``max_literal_rows`` rows are rendered as one ``VALUES`` statement with
+typed literals: a single SQL parse, a JVM-only local scan, and no per-value
+Python/JVM round trips.  Doubles round-trip exactly (``repr`` is the shortest
+exact decimal form).  Larger inputs fall back to ``createDataFrame``.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+import math
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def literal_frame(spark: SparkSession, rows, schema: T.StructType, max_literal_rows: int = 2000) -> DataFrame:
+def _sql_literal(v, t: T.DataType) -> str:
+    ts = t.simpleString()
+    if v is None:
+        return f"CAST(NULL AS {ts})"
+    if isinstance(v, float):
+        text = "NaN" if math.isnan(v) else ("Infinity" if v > 0 else "-Infinity") if math.isinf(v) else repr(v)
+    elif isinstance(v, bool):
+        text = "true" if v else "false"
+    elif isinstance(v, (_dt.datetime, _dt.date)):
+        text = v.isoformat(sep=" ") if isinstance(v, _dt.datetime) else v.isoformat()
+    else:
+        text = str(v)
+    text = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{text}' AS {ts})"
+
+
+def literal_frame(spark: SparkSession, rows, schema: T.StructType, max_literal_rows: int = 5000) -> DataFrame:
     rows = list(rows)
     if len(rows) > max_literal_rows:
         return spark.createDataFrame(rows, schema)
+    cols = ", ".join(f"`{f.name}`" for f in schema.fields)
     if not rows:
-        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
-               for row in rows]
-    out = spark.range(1).select(F.inline(F.array(*structs)))
-    return out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
+        return spark.sql(f"SELECT {nulls} LIMIT 0")
+    values = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(row, schema.fields)) + ")"
+                       for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({cols})")
