@@ -84,3 +84,34 @@ def test_cli_runs_selected_reports(spark, capsys):
     main(["--input", f"{d}/raw", "--format", "parquet", "--out", f"{d}/out", "--reports", "fraud_summary"])
     paths = json.loads(capsys.readouterr().out)
     assert spark.read.parquet(paths["fraud_summary"]).first().total_transactions == 862
+
+
+CSV_TEXT = """,trans_date_trans_time,cc_num,merchant,category,amt,first,last,gender,street,city,state,zip,lat,long,city_pop,job,dob,trans_num,unix_time,merch_lat,merch_long,is_fraud
+0,2024-06-21 12:14:25,4000000000000001,fraud_Shop A,grocery_pos,12.5,Ann,Lee,F,1 Main St,Town,ca,01234,40.5,-100.25,1200,"Engineer, civil",1980-06-01,t0,1718972065,40.6,-100.3,0
+1,2024-06-21 23:59:59,4000000000000001,fraud_Shop B,travel,999.99,Ann,Lee,F,1 Main St,Town,ca,01234,40.5,-100.25,1200,"Engineer, civil",1980-06-01,t1,1719014399,41.9,-101.5,1
+2,2024-06-22 00:10:00,4000000000000002,fraud_Shop C,misc_net,abc,Bo,Kim,M,2 Oak Rd,City,NY,00501,41.0,-74.0,600000,Clerk,1990-01-31,t2,1719015000,41.1,-74.1,0
+"""
+
+
+def test_csv_with_unnamed_index_quotes_and_text_dates(spark):
+    d = _fresh()
+    with open(f"{d}/raw.csv", "w") as fh:
+        fh.write(CSV_TEXT)
+    raw = read_raw_csv(spark, f"{d}/raw.csv")
+    strict = cleaning.clean(raw)
+    try:
+        strict.collect()
+        raise AssertionError("malformed amount must fail a strict clean")
+    except Exception as exc:  # ANSI cast error
+        assert "abc" in str(exc) or "CAST" in str(exc).upper()
+    c = cleaning.clean(raw, permissive=True)
+    rows = {r.transaction_id: r for r in c.collect()}
+    assert rows["t0"].zip_code == "01234" and rows["t0"].state == "CA" and rows["t0"].job == "Engineer, civil"
+    assert str(rows["t1"].amount) == "999.99" and rows["t1"].transaction_hour == 23
+    assert rows["t2"].amount is None
+    v = cleaning.validated(c)
+    assert sorted(r.transaction_id for r in v.collect()) == ["t0", "t1"]
+    from txnlens.operators.features import features
+
+    f = {r.transaction_id: r for r in features(v).collect()}
+    assert f["t0"].customer_age == 44 and f["t0"].city_tier == "Rural"
