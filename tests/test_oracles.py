@@ -31,3 +31,14 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert "fraud_rate_pct" in df.columns
+
+
+@pytest.mark.parametrize("name", ["time_features", "card_velocity_24h", "rapid_fire", "daily_volume"])
+def test_independent_of_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = compare(spark, SF_SMALL, name, con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r["values_match"], r
