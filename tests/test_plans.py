@@ -41,6 +41,9 @@ def test_top_fraud_ranks_after_limit(spark):
     f = fixture_stages(spark, SF_SMALL).get("features")
     p = plan(transactions.top_fraud_transactions(f))
     assert "TakeOrderedAndProject" in p
+    # the rank window sits on the 50 rows TakeOrdered returns: no exchange of raw rows to one partition
+    assert "SinglePartition" not in p
+    assert p.index("Window [row_number()") < p.index("TakeOrderedAndProject")
 
 
 def test_rapid_fire_is_equi_join(spark):
