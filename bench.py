@@ -18,7 +18,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from txnlens.plans.catalog import CATALOG  # noqa: E402
-from txnlens.plans.pipeline import MaterializedStages  # noqa: E402
+from txnlens.plans.batch import MaterializedStages  # noqa: E402
 from txnlens.plans.session import local_session  # noqa: E402
 from txnlens.sources.fixture import raw_transactions  # noqa: E402
 from txnlens.sources.sinks import shared_dir  # noqa: E402

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from txnlens.operators import cleaning
 from txnlens.plans.catalog import fixture_stages
-from txnlens.plans.pipeline import run_all
+from txnlens.plans.batch import run_all
 from txnlens.schema import RAW_COLUMNS
 from txnlens.sources.raw import read_raw_csv, read_raw_parquet
 from txnlens.streaming.ingest import (batch_category_stats, daily_volume_stream, read_raw_stream,
@@ -62,7 +62,7 @@ def test_streaming_features_match_batch(spark):
 
 
 def test_month_partitioned_features_prune(spark):
-    from txnlens.plans.pipeline import MaterializedStages
+    from txnlens.plans.batch import MaterializedStages
 
     st = fixture_stages(spark, SF_SMALL)
     ms = MaterializedStages(spark, st.raw, out_dir=_fresh(), partition_features_by_month=True)

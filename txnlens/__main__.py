@@ -13,7 +13,7 @@ import argparse
 import json
 
 from txnlens.plans.catalog import CATALOG
-from txnlens.plans.pipeline import run_all
+from txnlens.plans.batch import run_all
 from txnlens.plans.session import build_session
 from txnlens.sources.raw import read_raw_csv, read_raw_parquet
 

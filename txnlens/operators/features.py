@@ -57,12 +57,6 @@ def geo_features(v: DataFrame) -> DataFrame:
         X.flag(km > S.FAR_FROM_HOME_KM).alias("is_far_from_home"))
 
 
-def category_stats(v: DataFrame) -> DataFrame:
-    """avg and sample std of amount per category (partial aggregation, tiny output)."""
-    return v.groupBy("category").agg(F.avg("amount").alias("cat_avg_amount"),
-                                     F.stddev_samp("amount").alias("cat_std_amount"))
-
-
 def amount_features(v: DataFrame) -> DataFrame:
     """Per-row z-score against the category mean/std, p95 flag and log-scale bucket."""
     # The workload also computes a per-category median that no output uses; only p95 is needed.
@@ -94,10 +88,6 @@ def merchant_loyalty(v: DataFrame) -> DataFrame:
             .orderBy(F.desc("visit_count"), "card_number", "merchant_name"))
 
 
-FEATURE_COLUMNS = ["customer_age", "day_of_week", "is_weekend", "is_late_night", "geo_distance_km",
-                   "is_far_from_home", "amount_z_score", "city_tier"]
-
-
 def features(v: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
     """The wide feature table: validated columns + 8 features (NULL category dropped)."""
     stats = v.groupBy("category").agg(F.avg("amount").alias("_cat_avg"), F.stddev_samp("amount").alias("_cat_std"))

@@ -43,7 +43,7 @@ def summarize(df: DataFrame) -> dict:
 
 def main(sf_dir: str = "/root/testdata/sf0.01", out: str = "PLANS.md") -> None:
     from .catalog import CATALOG
-    from .pipeline import MaterializedStages
+    from .batch import MaterializedStages
     from .session import local_session
     from ..sources.fixture import raw_transactions
 
