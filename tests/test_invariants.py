@@ -125,3 +125,13 @@ def test_velocity_auto_picks_by_busiest_card(spark):
     assert velocity.busiest_card_rows(v) > 1
     assert small.select(cols).exceptAll(large.select(cols)).count() == 0
     assert "Window" in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_empty_and_all_null_groups(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), ("b", 3.0)], "g string, v double")
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", {"p50": 0.5},
+                                                extra_aggs={"n": F.count(F.lit(1))}).collect()}
+    assert got["a"]["p50"] is None and got["a"]["n"] == 2
+    assert got["b"]["p50"] == 2.0 and got["b"]["n"] == 2
+    empty = exact_percentiles(df.filter("false"), ["g"], "v", {"p50": 0.5})
+    assert empty.count() == 0 and empty.columns == ["g", "p50"]
