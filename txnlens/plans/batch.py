@@ -49,13 +49,30 @@ class MaterializedStages(Stages):
             create_view(self._cache[stage], name)
 
 
+def write_reports(stages: Stages, names, out_dir: str, concurrency: int = 4) -> dict[str, str]:
+    """Write each named report as Parquet; up to ``concurrency`` Spark jobs run at once.
+
+    Reports are independent reads of the materialised tables, so they are
+    submitted from a small thread pool (Spark schedules jobs from several
+    threads; FAIR pools keep one large report from starving the rest).
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(name: str) -> tuple[str, str]:
+        path = f"{out_dir}/reports/{name}"
+        write_table(stages.run(name), path)
+        return name, path
+
+    names = list(names)
+    if concurrency <= 1:
+        return dict(one(n) for n in names)
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        return dict(pool.map(one, names))
+
+
 def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, names=None,
-            raw_dups: DataFrame | None = None, partition_features_by_month: bool = False) -> dict[str, str]:
+            raw_dups: DataFrame | None = None, partition_features_by_month: bool = False,
+            concurrency: int = 4) -> dict[str, str]:
     """Write every report (or ``names``) as Parquet under ``out_dir``; return name -> path."""
     stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month)
-    paths = {}
-    for name in names or CATALOG:
-        path = f"{stages.out_dir}/reports/{name}"
-        write_table(stages.run(name), path)
-        paths[name] = path
-    return paths
+    return write_reports(stages, names or CATALOG, stages.out_dir, concurrency)

@@ -16,6 +16,7 @@ SCALE_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    "spark.scheduler.mode": "FAIR",
 }
 
 
