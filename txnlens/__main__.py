@@ -25,6 +25,7 @@ def main(argv=None) -> None:
     ap.add_argument("--out", default=None, help="output folder (default: under spark.checkpoint.dir)")
     ap.add_argument("--reports", default=None, help="comma-separated report names (default: all)")
     ap.add_argument("--partition-by-month", action="store_true", help="partition the feature table by month")
+    ap.add_argument("--concurrency", type=int, default=4, help="reports written concurrently (default 4)")
     args = ap.parse_args(argv)
 
     spark = build_session()
@@ -33,7 +34,8 @@ def main(argv=None) -> None:
     unknown = [n for n in names if n not in CATALOG]
     if unknown:
         raise SystemExit(f"unknown reports: {unknown}")
-    paths = run_all(spark, raw, args.out, names, partition_features_by_month=args.partition_by_month)
+    paths = run_all(spark, raw, args.out, names, partition_features_by_month=args.partition_by_month,
+                    concurrency=args.concurrency)
     print(json.dumps(paths, indent=1))
 
 
