@@ -57,13 +57,17 @@ def write_reports(stages: Stages, names, out_dir: str, concurrency: int = 4) ->
     scheduler pool, so under ``spark.scheduler.mode=FAIR`` one large report
     cannot starve the others.
     """
+    import itertools
     import threading
     from concurrent.futures import ThreadPoolExecutor
 
     sc = stages.raw.sparkSession.sparkContext
+    numbers, local = itertools.count(), threading.local()
 
     def one(name: str) -> tuple[str, str]:
-        sc.setLocalProperty("spark.scheduler.pool", f"txnlens-{threading.get_ident() % max(concurrency, 1)}")
+        if not hasattr(local, "pool"):
+            local.pool = f"txnlens-{next(numbers)}"
+        sc.setLocalProperty("spark.scheduler.pool", local.pool)
         path = f"{out_dir}/reports/{name}"
         write_table(stages.run(name), path)
         return name, path
