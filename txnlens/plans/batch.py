@@ -22,31 +22,43 @@ VIEW_NAMES = {"transactions_clean": "clean", "transactions_validated": "validate
 
 
 class MaterializedStages(Stages):
-    """Stages whose clean and features tables were written to storage."""
+    """Stages whose clean and features tables were written to storage.
+
+    With ``defer_features=True`` only the clean table is written by the
+    constructor; :meth:`materialize_features` builds the feature table later
+    (so reports that need only ``clean`` can run meanwhile).
+    """
 
     def __init__(self, spark: SparkSession, raw: DataFrame, raw_dups: DataFrame | None = None,
                  out_dir: str | None = None, partition_features_by_month: bool = False,
-                 max_rows_per_file: int | None = 2_000_000):
+                 max_rows_per_file: int | None = 2_000_000, defer_features: bool = False):
         super().__init__(raw, raw_dups)
+        self.spark = spark
         self.out_dir = out_dir or shared_dir(spark, "txnlens")
+        self.partition_features_by_month = partition_features_by_month
+        self.max_rows_per_file = max_rows_per_file
         clean_path = f"{self.out_dir}/clean"
-        features_path = f"{self.out_dir}/features"
+        self.features_path = f"{self.out_dir}/features"
         write_table(cleaning.clean(raw), clean_path, max_rows_per_file=max_rows_per_file)
         clean_df = spark.read.parquet(clean_path)
-        feats = build_features(cleaning.validated(clean_df))
+        self._cache["clean"] = clean_df
+        self._cache["validated"] = cleaning.validated(clean_df)
+        if not defer_features:
+            self.materialize_features()
+
+    def materialize_features(self) -> DataFrame:
+        feats = build_features(self._cache["validated"])
         part = None
-        if partition_features_by_month:
+        if self.partition_features_by_month:
             feats = feats.withColumn("txn_month", F.date_format("transaction_date", "yyyy-MM"))
             part = ["txn_month"]
-        write_table(feats, features_path, part, max_rows_per_file=max_rows_per_file)
-        self._cache["clean"] = clean_df
-        self._cache["validated"] = cleaning.validated(clean_df)
-        f = spark.read.parquet(features_path)
-        self._cache["features"] = f.drop("txn_month") if partition_features_by_month else f
-        self.features_path = features_path
+        write_table(feats, self.features_path, part, max_rows_per_file=self.max_rows_per_file)
+        f = self.spark.read.parquet(self.features_path)
+        self._cache["features"] = f.drop("txn_month") if self.partition_features_by_month else f
         # CREATE VIEW equivalents, for ad-hoc SQL over the same tables.
         for name, stage in VIEW_NAMES.items():
             create_view(self._cache[stage], name)
+        return self._cache["features"]
 
 
 def write_reports(stages: Stages, names, out_dir: str, concurrency: int = 4) -> dict[str, str]:
@@ -82,6 +94,20 @@ def write_reports(stages: Stages, names, out_dir: str, concurrency: int = 4) ->
 def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, names=None,
             raw_dups: DataFrame | None = None, partition_features_by_month: bool = False,
             concurrency: int = 4) -> dict[str, str]:
-    """Write every report (or ``names``) as Parquet under ``out_dir``; return name -> path."""
-    stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month)
-    return write_reports(stages, names or CATALOG, stages.out_dir, concurrency)
+    """Write every report (or ``names``) as Parquet under ``out_dir``; return name -> path.
+
+    The clean table is written first; the feature table is then built while
+    the reports that need only ``clean`` / ``validated`` already run.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = list(names or CATALOG)
+    stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month, defer_features=True)
+    early = [n for n in names if CATALOG[n].stage != "features"]
+    late = [n for n in names if CATALOG[n].stage == "features"]
+    with ThreadPoolExecutor(max_workers=1) as builder:
+        built = builder.submit(stages.materialize_features)
+        paths = write_reports(stages, early, stages.out_dir, max(concurrency - 1, 1))
+        built.result()
+    paths.update(write_reports(stages, late, stages.out_dir, concurrency))
+    return paths
