@@ -165,3 +165,38 @@ def test_cumulative_skips_days_without_fraud(spark):
     r = transactions.cumulative_fraud(feats(spark, *rows)).orderBy("transaction_date").collect()
     assert [(x.daily_fraud_value, x.cumulative_fraud_value, x.cumulative_fraud_count) for x in r] == \
         [(None, None, 0), (Decimal("3.00"), Decimal("3.00"), 1)]
+
+
+def test_bucket_edges_are_half_open(spark):
+    amounts = [9.99, 10.0, 25.0, 50.0, 100.0, 200.0, 500.0, 1000.0]
+    f = feats(spark, *[dict(amt=a, trans_num=f"a{i}") for i, a in enumerate(amounts)])
+    from pyspark.sql import functions as F
+
+    from txnlens import schema as S
+    from txnlens.functions import semantics as X
+
+    bucket = X.label_chain(F.col("amount"), S.AMOUNT_HISTOGRAM, S.AMOUNT_HISTOGRAM_ELSE)
+    hist = {float(r.amount): r.b for r in f.select("amount", bucket.alias("b")).collect()}
+    assert hist == {9.99: "1. $0–$10", 10.0: "2. $10–$25", 25.0: "3. $25–$50", 50.0: "4. $50–$100",
+                    100.0: "5. $100–$200", 200.0: "6. $200–$500", 500.0: "7. $500–$1,000", 1000.0: "8. $1,000+"}
+    tiers = {(r.amount_tier, r.total_txns) for r in transactions.category_amount_tier(f).collect()}
+    assert tiers == {("Low (<$50)", 3), ("Medium ($50–$200)", 2), ("High (>$200)", 3)}
+
+
+def test_city_tier_and_age_and_hour_edges(spark):
+    rows = [dict(city_pop=4999, trans_num="p0"), dict(city_pop=5000, trans_num="p1"),
+            dict(city_pop=500000, trans_num="p2"),
+            dict(dob=dt.date(1999, 7, 1), trans_date_trans_time=dt.datetime(2024, 3, 5, 5, 59, 59), trans_num="h5"),
+            dict(dob=dt.date(1998, 7, 1), trans_date_trans_time=dt.datetime(2024, 3, 5, 6, 0, 0), trans_num="h6"),
+            dict(trans_date_trans_time=dt.datetime(2024, 3, 5, 21, 59, 0), trans_num="h21"),
+            dict(trans_date_trans_time=dt.datetime(2024, 3, 5, 22, 0, 0), trans_num="h22")]
+    f = feats(spark, *rows)
+    got = {r.transaction_id: r for r in f.collect()}
+    assert (got["p0"].city_tier, got["p1"].city_tier, got["p2"].city_tier) == ("Rural", "Small Town", "Metro")
+    assert (got["h5"].customer_age, got["h6"].customer_age) == (25, 26)
+    assert (got["h5"].is_late_night, got["h6"].is_late_night) == (1, 0)
+    v = cleaning.validated(cleaning.clean(raw_rows(spark, *rows)))
+    tod = {r.transaction_id: r.time_of_day for r in feat.time_features(v).collect()}
+    assert (tod["h5"], tod["h6"], tod["h21"], tod["h22"]) == ("Late Night", "Morning", "Evening", "Night")
+    ages = {r.transaction_id: r.age_group for r in feat.age_features(v).collect()}
+    assert (ages["h5"], ages["h6"]) == ("25-34", "25-34")
