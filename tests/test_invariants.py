@@ -135,3 +135,18 @@ def test_percentiles_empty_and_all_null_groups(spark):
     assert got["b"]["p50"] == 2.0 and got["b"]["n"] == 2
     empty = exact_percentiles(df.filter("false"), ["g"], "v", {"p50": 0.5})
     assert empty.count() == 0 and empty.columns == ["g", "p50"]
+
+
+def test_percentiles_many_groups_fallback(spark):
+    rnd = random.Random(5)
+    data = [(g, float(rnd.randint(0, 50))) for g in range(30) for _ in range(rnd.randint(1, 12))]
+    df = spark.createDataFrame(data, "g int, v double")
+    probs = {"p25": 0.25, "p50": 0.5, "p95": 0.95}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", probs, max_groups=5,
+                                                extra_aggs={"n": F.count(F.lit(1))}).collect()}
+    assert len(got) == 30
+    for g in range(30):
+        vals = [v for k, v in data if k == g]
+        assert got[g]["n"] == len(vals)
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(_np_pct(vals, p), rel=1e-12), (g, name)

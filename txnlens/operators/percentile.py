@@ -64,16 +64,34 @@ def _resolve_small(spark, data, keys, key_fields, intervals) -> dict:
     return {wanted[r["_k"]]: r["_v"] for r in hits}
 
 
+def _many_groups(first: DataFrame, data: DataFrame, keys, probs: dict, extra_aggs: dict) -> DataFrame:
+    """More groups than the driver should track: each group is then small on
+    average, so Spark's exact ``percentile`` aggregate runs per group, fed with
+    (group, value) counts so duplicate values are merged before the shuffle.
+    (Its interpolation may differ from ``lo + (hi - lo) * frac`` in the last bit.)
+    """
+    counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    pcts = counts.groupBy(*keys).agg(*[F.percentile("_v", float(p), F.col("_c")).alias(name)
+                                      for name, p in probs.items()])
+    cond = None
+    for k in keys:
+        c = first[k].eqNullSafe(pcts[k])
+        cond = c if cond is None else cond & c
+    joined = first.join(pcts, cond, "left")  # keys are never empty here: one group never exceeds max_groups
+    return joined.select(*[first[k] for k in keys], *[first[n] for n in extra_aggs], *[pcts[n] for n in probs])
+
+
 def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, extra_aggs: dict | None = None,
                       bins: int = 256, exact_limit: int = 200_000, max_groups: int = 10_000,
                       max_rounds: int = 64) -> DataFrame:
     """Per-group exact continuous percentiles.
 
     ``probs`` maps output column name -> probability.  Returns one row per
-    group (at most ``max_groups``, checked) with the key columns, any
+    group with the key columns, any
     ``extra_aggs`` (name -> aggregate Column, evaluated in the same first pass
     over ``df``) and one DOUBLE column per probability.  NULL values are
-    ignored, as in SQL.
+    ignored, as in SQL.  Up to ``max_groups`` groups use the selection above;
+    beyond that the per-group exact aggregate of :func:`_many_groups` is used.
     """
     spark = df.sparkSession
     keys = list(keys)
@@ -87,7 +105,7 @@ def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, extra_aggs: di
     extra_fields = [first.schema[name] for name in extra_aggs]
     group_rows = first.limit(max_groups + 1).collect()
     if len(group_rows) > max_groups:
-        raise ValueError(f"exact_percentiles: more than {max_groups} groups")
+        return _many_groups(first, data, keys, probs, extra_aggs)
 
     # searches[(gkey, rank)] -> state
     resolved: dict = {}
