@@ -2,9 +2,9 @@
 
 Each round sends links to the smallest known node: first from every node to its larger
 neighbours, then from every node to its smaller ones. Groups are reduced to their
-minimum with partial sums and joined back, so a node with very many links is not
-gathered; the number of links never grows. A round's links are written to the shared
-folder; the rounds end when one changes nothing.
+minimum with partial sums, written, and joined back, so a node with very many links is
+not gathered and Spark can split it; the number of links never grows. A round's links are
+written to the shared folder; the rounds end when one changes nothing.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     before = _state(held)
     while before[0]:
         both = held.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(held.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("r")).select("n", F.least("n", "r").alias("r"))
+        least = common.keep(both.groupBy("n").agg(F.min("m").alias("r")).select("n", F.least("n", "r").alias("r")), "least")
         large = both.join(least, "n").where("m > n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("r"))
+        large = common.keep(large, "large")
+        least = common.keep(large.groupBy("u").agg(F.min("v").alias("r")), "least")
         small = large.join(least, "u").where("v != r").select(F.col("v").alias("u"), F.col("r").alias("v"))
         held = common.keep(small.unionByName(least.select("u", F.col("r").alias("v"))).distinct(), "links")
         after = _state(held)

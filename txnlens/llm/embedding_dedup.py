@@ -208,10 +208,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, crowd: int
     joined = components(found.select("cid", "root"), "cid", "root").withColumnRenamed("node", "cid")
     rooted = classes.select("cid", "label", "embedding", "least", "copies").join(links, "cid", "left").join(joined, "cid", "left").withColumn("root", F.coalesce("component", "cid"))
     named = rooted.groupBy("root").agg(F.min("least").alias("name"))
-    decided = rooted.join(named, "root").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "name", F.lit(True).alias("sound"))
-    return rows.join(decided, ["sound", "label", "embedding"], "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("sound"), F.col("name")).otherwise(F.col("vec_id")).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    decided = rooted.join(named, "root").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("name").alias("component_id"))
+    linked = rows.where("sound").join(decided, ["label", "embedding"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

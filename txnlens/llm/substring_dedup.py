@@ -118,7 +118,8 @@ def earlier_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     found = common.keep(anchors.join(shared, "key"), "found")
     common.release(spark)
-    owner = found.groupBy("key", "kind").agg(F.min("did").alias("owner"))
+    # sums are written before they are joined, so that Spark can split a frequent key
+    owner = common.keep(found.groupBy("key", "kind").agg(F.min("did").alias("owner")), "owners")
     judged = common.keep(found.join(owner, ["key", "kind"]).select("did", "crc", "at", "first", "windows", "mixed", (F.col("did") > F.col("owner")).alias("later")), "judged")
     settled = judged.where("later").select("did", "crc", "first", "windows")
 
@@ -127,6 +128,7 @@ def earlier_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         lambda x: _windows(x, width), "did long, crc long, first long, one long, two long"), "windows")
     common.release(spark)
     starts = windows.groupBy("one", "two").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").select("one", "two", "least")
+    starts = common.keep(starts, "starts")
     open_ = windows.join(starts, ["one", "two"]).where("did > least").select("did", "crc", "first", F.lit(1).cast("long").alias("windows"))
     return settled.unionByName(open_)
 

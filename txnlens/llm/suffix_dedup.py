@@ -189,7 +189,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     spark = docs.sparkSession
     anchors = common.keep(docs.mapInArrow(lambda x: _anchors(x, width, gram), _ANCHORS), "anchors")
     per_key = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("kind").alias("least"), F.max("kind").alias("most"))
-    repeated = per_key.where("n > 1").select("key", (F.col("least") != F.col("most")).alias("mixed"))
+    # written first: a sum and a join in one stage would keep Spark from splitting a frequent key
+    repeated = common.keep(per_key.where("n > 1").select("key", (F.col("least") != F.col("most")).alias("mixed")), "keys")
     found = common.keep(anchors.join(repeated, "key"), "repeated")
     common.release(spark)
 
@@ -210,7 +211,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     ordered = to_sort.mapInArrow(lambda x: _sort_spans(x, width), _MARKS)
     single = pieces.where("crowded").select("did", "crc", "start", "n", "piece").mapInArrow(
         lambda x: _single_windows(x, width), "did long, crc long, start long, n long, one long, two long")
-    again = single.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1")
+    again = common.keep(single.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1").select("one", "two"), "again")
     lone = single.where("n = 1").join(again, ["one", "two"]).select("did", "crc", "start", F.lit(1).cast("long").alias("windows"))
     columns = ["did", "crc", "start", F.col("windows").cast("long").alias("windows")]
     return plain.select(*columns).unionByName(copied.select(*columns)).unionByName(ordered).unionByName(lone)
