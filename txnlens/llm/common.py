@@ -8,6 +8,7 @@ keep their own results; rows equal in both are interchangeable.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ def release(spark: SparkSession) -> None:
     may not do for long; an operator with several shuffles over the corpus asks for it
     between its steps, so that disk holds one step at a time.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
