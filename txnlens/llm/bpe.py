@@ -7,8 +7,8 @@ lowest rank (leftmost first). Special tokens are not known.
 
 The hash, the tokens and the pair ranks are built once on the driver from the rank file,
 whose path is a parameter, and broadcast: they are bounded by the vocabulary (at most
-``VOCABULARY`` tokens). Tasks are independent of each other; each Python worker remembers up to
-``REMEMBERED`` matches.
+``VOCABULARY`` tokens). Tasks are independent of each other; each remembers up to ``REMEMBERED``
+matches, and forgets them at its end.
 
 Results for odd input: null and empty texts have no ids and decode to nothing; repeated
 rows and null ids are kept as they are; an empty table gives an empty result; other
@@ -29,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnlens.llm import common
+
 VOCABULARY = 1 << 20
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Texts beyond this many characters are matched piece by piece.
 LONG = 1 << 20
-ROWS = 512
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -156,34 +157,27 @@ class _Remembered(dict):
         return found
 
 
-_REMEMBERED: dict[int, _Remembered] = {}
-
-
 def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     encoder = shared.value
-    known = _REMEMBERED.get(id(encoder))
-    if known is None:
-        _REMEMBERED.clear()
-        known = _REMEMBERED[id(encoder)] = _Remembered(encoder)
+    known = _Remembered(encoder)
     matcher, get, tokens = regex.compile(encoder.pattern), known.__getitem__, encoder.tokens.__getitem__
-    for batch in batches:
-        for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
-            ids, decoded, rows = [], [], part.column("text")
-            for r in range(len(part)):
-                text = rows[r].as_py() or ""
-                if len(text) <= LONG:
-                    ids.append(b"".join(map(get, matcher.findall(text))))
-                else:
-                    found, pieces = (m[0] for m in matcher.finditer(text)), []
-                    while block := list(islice(found, LONG)):
-                        pieces.append(b"".join(map(get, block)))
-                        if len(known) > REMEMBERED:
-                            known.clear()
-                    ids.append(b"".join(pieces))
-                decoded.append(b"".join(map(tokens, np.frombuffer(ids[-1], "<u4").tolist())))
-            if len(known) > REMEMBERED:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+    for part in common.sliced(batches):
+        ids, decoded, rows = [], [], part.column("text")
+        for r in range(len(part)):
+            text = rows[r].as_py() or ""
+            if len(text) <= LONG:
+                ids.append(b"".join(map(get, matcher.findall(text))))
+            else:
+                found, pieces = (m[0] for m in matcher.finditer(text)), []
+                while block := list(islice(found, LONG)):
+                    pieces.append(b"".join(map(get, block)))
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                ids.append(b"".join(pieces))
+            decoded.append(b"".join(map(tokens, np.frombuffer(ids[-1], "<u4").tolist())))
+        if len(known) > REMEMBERED:
+            known.clear()
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -119,6 +119,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = S
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def flatten(table: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     """Columns without nulls as numpy arrays."""
     return [table.column(n).to_numpy(zero_copy_only=False) for n in names]

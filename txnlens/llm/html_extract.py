@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnlens.llm import common
+
 SIGMA = 1.0
 SHARE = 0.25
-ROWS = 512
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Part of the text around them, no blocks of their own.
@@ -173,10 +174,9 @@ def extract(html: str) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
-            texts = [extract(x) if x else "" for x in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    for part in common.sliced(batches):
+        texts = [extract(x) if x else "" for x in part.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

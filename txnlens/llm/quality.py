@@ -64,7 +64,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.sliced(batches):
         data, offsets = common.utf8(batch.column("text"))
         view = memoryview(data)
         rows = np.array([statistics(bytes(view[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.float64).reshape(-1)

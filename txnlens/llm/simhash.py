@@ -64,7 +64,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.sliced(batches):
         data, offsets = common.utf8(batch.column("text"))
         data = memoryview(data)
         found = np.array([fingerprint(bytes(data[a:b]), shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.uint64)

@@ -134,7 +134,7 @@ def earlier_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.sliced(batches):
         counts, gone, kept = [], [], []
         texts, marks = batch.column("text"), batch.column("marks")
         for r in range(len(batch)):

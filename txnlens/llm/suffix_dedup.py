@@ -218,7 +218,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.sliced(batches):
         rows = len(batch)
         size, removed, spans = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
         kept, marks = [], batch.column("marks")
