@@ -12,7 +12,8 @@ of a document that follow each other and share an anchor form a span of at most
 
 1. Anchors whose hash occurs once are settled: nothing of theirs repeats.
 2. Where all spans of an anchor hash are the same, every one of them is removed whole.
-   Copies, however many, end here: they are counted with partial sums.
+   Copies, however many, end here: they are counted with partial sums. Equal spans end to
+   end in one document (a word said over and over) are one row from the start.
 3. The spans that differ, one of each kind, are gathered by anchor hash. Their bytes,
    packed into symbols of ``SYMBOL`` bytes from the anchor on, are suffix-sorted by the
    grouping construction of ``suffixes``. Suffixes that agree on all whole symbols that
@@ -49,7 +50,7 @@ PASS = 1 << 19
 BATCH = 1 << 15
 _PLACE = np.uint64((1 << 20) - 1)
 
-_ANCHORS = "did long, crc long, start long, windows int, ahead int, key long, kind long"
+_ANCHORS = "did long, crc long, start long, windows int, times int, ahead int, key long, kind long"
 _MARKS = "did long, crc long, start long, windows long"
 
 
@@ -74,11 +75,16 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterat
             fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (np.diff(s) != 1)])
             at = np.flatnonzero(fresh)
             first, last, p = s[at], s[np.append(at[1:], len(s)) - 1], p[at]
-            own = doc[first]
+            own, key, kind = doc[first], hashes[p], spans.spans(first, last + width)
+            # a text that repeats itself has the same span again and again, end to end: one row
+            again = (own[1:] == own[:-1]) & (key[1:] == key[:-1]) & (kind[1:] == kind[:-1]) & (first[1:] == last[:-1] + 1)
+            head = np.flatnonzero(np.concatenate([[True], ~again]))
+            times = np.diff(np.append(head, len(first)))
+            last = last[head + times - 1]
+            first, p, own, key, kind = first[head], p[head], own[head], key[head], kind[head]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (did[own], crc[own], first + lo - offsets[own], (last - first + 1).astype(np.int32), (p - first).astype(np.int32),
-                                       signed(hashes[p]), signed(spans.spans(first, last + width)))],
-                names=["did", "crc", "start", "windows", "ahead", "key", "kind"])
+                [pa.array(x) for x in (did[own], crc[own], first + lo - offsets[own], (last - first + 1).astype(np.int32), times.astype(np.int32), (p - first).astype(np.int32), signed(key), signed(kind))],
+                names=["did", "crc", "start", "windows", "times", "ahead", "key", "kind"])
 
 
 def _sorted_matches(pieces: list[bytes], ahead: np.ndarray, width: int) -> list[np.ndarray]:
@@ -188,7 +194,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     """
     spark = docs.sparkSession
     anchors = common.keep(docs.mapInArrow(lambda x: _anchors(x, width, gram), _ANCHORS), "anchors")
-    per_key = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("kind").alias("least"), F.max("kind").alias("most"))
+    per_key = anchors.groupBy("key").agg(F.sum("times").alias("n"), F.min("kind").alias("least"), F.max("kind").alias("most"))
     # written first: a sum and a join in one stage would keep Spark from splitting a frequent key
     repeated = common.keep(per_key.where("n > 1").select("key", (F.col("least") != F.col("most")).alias("mixed")), "keys")
     found = common.keep(anchors.join(repeated, "key"), "repeated")
@@ -197,7 +203,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     plain = found.where(~F.col("mixed"))
     mixed = found.where("mixed")
     kinds = common.keep(
-        mixed.groupBy("key", "kind").agg(F.count("*").alias("n"), F.min(F.struct("did", "crc", "start", "windows", "ahead")).alias("one")).select("key", "kind", "n", "one.*"), "kinds")
+        mixed.groupBy("key", "kind").agg(F.sum("times").alias("n"), F.min(F.struct("did", "crc", "start", F.expr("int(windows div times)").alias("windows"), "ahead")).alias("one")).select("key", "kind", "n", "one.*"), "kinds")
     copied = mixed.join(kinds.where("n > 1").select("key", "kind"), ["key", "kind"])
     crowd = kinds.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("crowded"))
     wanted = kinds.join(crowd, "key", "left").withColumnRenamed("start", "at")
