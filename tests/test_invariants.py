@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
-from txnlens.operators import customers, geography, kpis, transactions, velocity
+from txnlens.operators import customers, geography, kpis, transactions
 from txnlens.operators.percentile import exact_percentiles
 from txnlens.plans.catalog import fixture_stages
 
@@ -60,17 +60,6 @@ def test_risk_scores_bounded(stages):
     assert 0 <= r[0] <= r[1] <= 100
 
 
-@pytest.mark.parametrize("hours,k", [(24, 24), (24, 4), (168, 24), (1, 1)])
-def test_velocity_bucketed_equals_window(spark, hours, k):
-    v = fixture_stages(spark, SF_MID).get("validated")
-    a = velocity.card_velocity(v, hours, "bucketed", k)
-    b = velocity.card_velocity(v, hours, "window")
-    assert a.count() == b.count() == v.count()
-    cols = ["transaction_id", "txn_count_24h", "spend_24h", "max_txn_24h"]
-    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
-    assert b.filter("txn_count_24h = 0 AND spend_24h != 0").count() == 0
-
-
 def test_rapid_fire_equals_brute_force(spark):
     f = fixture_stages(spark, SF_MID).get("features")
     got = transactions.rapid_fire(f).select("txn_1_id", "txn_2_id")
@@ -117,16 +106,6 @@ def test_percentiles_heavy_tail_converge(spark):
         assert got[name] == _np_pct(vals, p), name
 
 
-def test_velocity_auto_picks_by_busiest_card(spark):
-    v = fixture_stages(spark, SF_SMALL).get("validated")
-    cols = ["transaction_id", "txn_count_24h", "spend_24h", "max_txn_24h"]
-    small = velocity.card_velocity(v, 24, "auto", max_rows_per_card=1)          # forces bucketed
-    large = velocity.card_velocity(v, 24, "auto")                                 # window
-    assert velocity.busiest_card_rows(v) > 1
-    assert small.select(cols).exceptAll(large.select(cols)).count() == 0
-    assert "Window" in large._jdf.queryExecution().executedPlan().toString()
-
-
 def test_percentiles_empty_and_all_null_groups(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), ("b", 3.0)], "g string, v double")
     got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", {"p50": 0.5},

@@ -1,7 +1,7 @@
 """Physical-plan checks: the rewrites keep the shapes we designed for."""
 
 from conftest import SF_SMALL
-from txnlens.operators import transactions, velocity
+from txnlens.operators import features, transactions, velocity
 from txnlens.plans.catalog import fixture_stages
 
 
@@ -31,12 +31,21 @@ def test_clean_filter_pushed_to_scan(spark):
 
 def test_velocity_has_no_self_join_on_raw_rows(spark):
     v = fixture_stages(spark, SF_SMALL).get("validated")
-    p = plan(velocity.card_velocity(v, 24, "window"))
-    assert "Join" not in p
     p = plan(velocity.card_velocity(v, 24))
     assert "NestedLoop" not in p and "Cartesian" not in p
 
 
+def test_amount_features_broadcast_is_checked(spark):
+    v = fixture_stages(spark, SF_SMALL).get("validated")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(features.amount_features(v))
+        assert "Broadcast" not in plan(features.amount_features(v, max_broadcast_rows=1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_top_fraud_ranks_after_limit(spark):
     f = fixture_stages(spark, SF_SMALL).get("features")
     p = plan(transactions.top_fraud_transactions(f))

@@ -71,11 +71,10 @@ def test_s16_velocity_open_bounds(spark):
             dict(trans_date_trans_time=t - dt.timedelta(hours=24) + dt.timedelta(microseconds=1), amt=4.0),
             dict(trans_date_trans_time=t, amt=8.0)]                                       # same instant: out
     v = cleaning.validated(cleaning.clean(raw_rows(spark, *rows)))
-    for method in ("bucketed", "window"):
-        got = {r.transaction_id: (r.txn_count_24h, r.spend_24h) for r in velocity.card_velocity(v, 24, method).collect()}
-        assert got["t0"] == (1, Decimal("4.00")), method
-        assert got["t3"] == (1, Decimal("4.00")), method
-        assert got["t1"] == (0, 0), method
+    got = {r.transaction_id: (r.txn_count_24h, r.spend_24h) for r in velocity.card_velocity(v, 24).collect()}
+    assert got["t0"] == (1, Decimal("4.00"))
+    assert got["t3"] == (1, Decimal("4.00"))
+    assert got["t1"] == (0, 0)
 
 
 def test_s17_rapid_fire_half_open(spark):
@@ -102,7 +101,20 @@ def test_s21_malformed_amount_strict_and_permissive(spark):
                                        for c in RAW_CSV_SCHEMA.fieldNames())], RAW_CSV_SCHEMA)
     with pytest.raises(Exception):
         cleaning.clean(raw).collect()
-    assert cleaning.clean(raw, permissive=True).first().amount is None
+    assert cleaning.clean(raw, permissive=True).count() == 0
+    assert cleaning.rejected_rows(raw).first()[0] == 1
+
+
+@pytest.mark.parametrize("column", ["trans_date_trans_time", "cc_num", "amt", "is_fraud"])
+def test_permissive_drops_and_counts_failed_casts(spark, column):
+    from txnlens.schema import RAW_CSV_SCHEMA
+
+    good = {"trans_date_trans_time": "2024-03-05 12:00:00", "cc_num": "1", "is_fraud": "0", "amt": "2.5", "lat": "40", "long": "-100",
+            "merch_lat": "40", "merch_long": "-100", "city_pop": "10", "unix_time": "0"}
+    rows = [tuple({**good, "trans_num": t, **bad}.get(c, "x") for c in RAW_CSV_SCHEMA.fieldNames())
+            for t, bad in (("ok", {}), ("bad", {column: "2024-13-45 99:00:00"}), ("none", {column: None}))]
+    raw = spark.createDataFrame(rows, RAW_CSV_SCHEMA)
+    assert [r.transaction_id for r in cleaning.clean(raw, permissive=True).collect()] == ["ok"]
     assert cleaning.rejected_rows(raw).first()[0] == 1
 
 

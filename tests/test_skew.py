@@ -1,9 +1,13 @@
 """A third of all rows on one card: the skew-proof rewrites stay exact."""
 
+import time
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
+from txnlens.functions.semantics import epoch_micros
 from txnlens.operators import customers, transactions, velocity
 from txnlens.plans.catalog import fixture_stages
 
@@ -22,15 +26,42 @@ def test_hot_card_is_hot(hot):
     assert v.filter("card_number = 1").count() * 4 > v.count()
 
 
-def test_velocity_hot_card(hot):
+def range_frame(v, hours):
+    """The definition as one range frame a card: quadratic for a busy card, so for tests only."""
+    w = Window.partitionBy("card_number").orderBy("_m").rangeBetween(-(hours * 3_600_000_000 - 1), -1)
+    rows = v.withColumn("_m", epoch_micros(F.col("transaction_ts")))
+    return rows.select("transaction_id", F.count("amount").over(w).alias("n"), F.coalesce(F.sum("amount").over(w), F.lit(0)).cast("double").alias("s"),
+                       F.coalesce(F.max("amount").over(w), F.lit(0)).cast("double").alias("x"))
+
+
+@pytest.mark.parametrize("hours", [1, 24, 168])
+def test_velocity_hot_card(hot, hours):
     v, _ = hot
-    cols = ["transaction_id", "txn_count_24h", "spend_24h", "max_txn_24h"]
-    a = velocity.card_velocity(v, 24, "bucketed").select(cols)
-    b = velocity.card_velocity(v, 24, "window").select(cols)
+    a = velocity.card_velocity(v, hours).select(
+        "transaction_id", F.col(f"txn_count_{hours}h").alias("n"), F.col(f"spend_{hours}h").cast("double").alias("s"), F.col(f"max_txn_{hours}h").cast("double").alias("x"))
+    b = range_frame(v, hours)
     assert a.count() == b.count() == v.count()
     assert a.exceptAll(b).count() == 0
 
 
+def test_velocity_is_linear_in_one_hot_hour(spark):
+    """One card, all rows inside one hour: twice the rows take about twice the time."""
+    def took(n):
+        v = spark.range(n).select(F.col("id").cast("string").alias("transaction_id"), F.lit(1).cast("long").alias("card_number"),
+                                  F.expr("timestamp_ntz'2024-03-05 12:00:00' + make_dt_interval(0, 0, 0, id * 0.1)").alias("transaction_ts"),
+                                  F.lit(2).cast("decimal(12,2)").alias("amount"))
+        best = 1e9
+        for _ in range(2):
+            t = time.time()
+            rows = velocity.card_velocity(v, 24).agg(F.sum("txn_count_24h"), F.count("*")).first()
+            best = min(best, time.time() - t)
+            assert tuple(rows) == (n * (n - 1) // 2, n)
+        return best
+
+    took(2_000)
+    assert took(32_000) < 2.5 * took(16_000) + 1
+
+
 def test_rapid_fire_hot_card(hot):
     _, f = hot
     got = transactions.rapid_fire(f).select("txn_1_id", "txn_2_id")

@@ -23,15 +23,24 @@ def _caster(permissive: bool):
     return cast
 
 
+#: Staging columns of the critical fields that are cast.
+CRITICAL = ("transaction_ts", "card_number", "amount", "is_fraud")
+
+
 def clean(raw: DataFrame, permissive: bool = False) -> DataFrame:
     """Rename, cast and derive the 26 staging columns; drop rows missing a critical field.
 
     ``permissive=False`` (default) casts strictly: malformed text fails the job
     under ANSI mode instead of silently becoming NULL.  ``permissive=True`` uses
-    ``try_cast``; use :func:`rejected_rows` to count what it would drop.
-    The NULL filter is applied on raw columns first, so for Parquet it is
-    pushed into the scan.
+    ``try_cast`` and drops rows whose critical casts fail; :func:`rejected_rows`
+    counts them.  The NULL filter is applied on raw columns first, so for
+    Parquet it is pushed into the scan.
     """
+    staged = _staged(raw, permissive)
+    return staged.dropna(how="any", subset=list(CRITICAL)) if permissive else staged
+
+
+def _staged(raw: DataFrame, permissive: bool) -> DataFrame:
     cast = _caster(permissive)
     ts = cast("trans_date_trans_time", "timestamp_ntz")
     kept = raw.filter(
@@ -70,10 +79,10 @@ def clean(raw: DataFrame, permissive: bool = False) -> DataFrame:
 
 def rejected_rows(raw: DataFrame) -> DataFrame:
     """Rows whose critical fields are present but fail a permissive cast (CSV input)."""
-    cleaned = clean(raw, permissive=True)
-    return cleaned.filter(F.col("transaction_ts").isNull() | F.col("amount").isNull()
-                          | F.col("card_number").isNull() | F.col("is_fraud").isNull()) \
-        .agg(F.count(F.lit(1)).alias("rejected_rows"))
+    failed = F.lit(False)
+    for c in CRITICAL:
+        failed = failed | F.col(c).isNull()
+    return _staged(raw, permissive=True).filter(failed).agg(F.count(F.lit(1)).alias("rejected_rows"))
 
 
 def _in_range(c: str, bounds) -> Column:

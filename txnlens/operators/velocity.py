@@ -1,112 +1,85 @@
 """Card velocity (B5): count, spend and max of the same card's earlier
 transactions in the open interval ``(ts - window, ts)``.
 
-The workload writes this as a LEFT range self-join + GROUP BY, which is
-quadratic per card.  Two exact rewrites are offered:
-
-* ``method="window"`` — one range frame over ``partitionBy(card)``; a single
-  shuffle, but every row of a card lands in one task.
-* ``method="bucketed"`` — skew-proof.  Time is cut into buckets of
-  ``window / k``.  The frame of a row in bucket ``b`` is
-  (tail of bucket ``b-k``) + (whole buckets ``b-k+1 .. b-1``) + (head of ``b``).
-  Whole buckets come from a per-(card, bucket) aggregate and a range frame over
-  those aggregated rows; the two partial buckets come from one window over
-  ``(card, bucket)`` groups holding the bucket's rows plus the rows of bucket
-  ``b-k`` shifted forward by one window.  Each row is shuffled at most twice
-  and no task ever holds more than two buckets of one card.
-
-The default ``method="auto"`` picks between them from the measured size of the
-busiest card.
+One plan at every size, linear in the rows.  Transactions of a card at one
+instant are summed first.  The interval then falls into pieces, each from a
+running frame or a short one:
+
+* inside the second of ``ts``, the instants before it, and inside the second of
+  ``ts - window``, the instants after it;
+* inside the hours of both, the whole seconds before and after;
+* the whole hours between.
+
+Rows of one window earlier take part as copies moved ahead by the window, so a
+group is one (card, second) of instants or one (card, hour) of at most 3,600
+seconds: a card that holds a third of all rows is split by time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import epoch_micros
 
-HOUR_US = 3_600_000_000
+SECOND_US = 1_000_000
+HOUR_S = 3_600
+_MONEY = "decimal(28,2)"
 
 
-def _window_method(v: DataFrame, w_us: int) -> DataFrame:
-    base = v.select("transaction_id", "card_number", "transaction_ts", "amount",
-                    epoch_micros(F.col("transaction_ts")).alias("_m"))
-    frame = Window.partitionBy("card_number").orderBy("_m").rangeBetween(-(w_us - 1), -1)
-    return base.select(
-        "transaction_id", "card_number", "transaction_ts", "amount",
-        F.count("amount").over(frame).alias("txn_count_24h"),
-        F.coalesce(F.sum("amount").over(frame), F.lit(0)).alias("spend_24h"),
-        F.coalesce(F.max("amount").over(frame), F.lit(0)).alias("max_txn_24h"))
+def _sums(df: DataFrame, *keys) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_s").cast(_MONEY).alias("_s"), F.max("_x").alias("_x"))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+
+def _around(points: DataFrame, at: str, per: int, window: int, names: list[str]) -> DataFrame:
+    """Per (card, ``at``): the points before it in its bucket of ``per``, and those after ``at - window`` in that one's bucket."""
+    now = points.withColumn("_old", F.lit(False))
+    old = points.withColumn(at, F.col(at) + window).withColumn("_old", F.lit(True))
+    both = now.unionByName(old).withColumn("_b", F.floor(F.col(at) / per))
+    bucket = Window.partitionBy("card_number", "_b")
+    before = bucket.orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    after = bucket.orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
+    mine, theirs = (lambda c: F.when(~F.col("_old"), F.col(c))), (lambda c: F.when(F.col("_old"), F.col(c)))
+    n, s, x = names
+    found = both.select(
+        "card_number", at, "_old",
+        _plus(F.sum(mine("_n")).over(before), F.sum(theirs("_n")).over(after)).alias(n),
+        _plus(F.sum(mine("_s")).over(before), F.sum(theirs("_s")).over(after)).cast(_MONEY).alias(s),
+        F.greatest(F.max(mine("_x")).over(before), F.max(theirs("_x")).over(after)).alias(x))
+    return found.where(~F.col("_old")).drop("_old")
 
 
-def _bucketed_method(v: DataFrame, w_us: int, k: int) -> DataFrame:
-    if w_us % k:
-        raise ValueError("window must be divisible into k buckets")
-    bw = w_us // k
+def card_velocity(v: DataFrame, hours: int = 24) -> DataFrame:
+    """``txn_count_{hours}h``, ``spend_{hours}h`` and ``max_txn_{hours}h`` of the card's previous ``hours``, for each transaction."""
     rows = v.select("transaction_id", "card_number", "transaction_ts", "amount",
                     epoch_micros(F.col("transaction_ts")).alias("_m"))
-    rows = rows.withColumn("_b", F.floor(F.col("_m") / F.lit(bw)).cast("long"))
-
-    # Whole buckets b-k+1 .. b-1 from per-bucket aggregates.
-    per_bucket = rows.groupBy("card_number", "_b").agg(
-        F.count("amount").alias("_bc"), F.sum("amount").alias("_bs"), F.max("amount").alias("_bx"))
-    mid_frame = Window.partitionBy("card_number").orderBy("_b").rangeBetween(-(k - 1), -1)
-    mid = per_bucket.select(
-        "card_number", "_b",
-        F.sum("_bc").over(mid_frame).alias("_mc"),
-        F.sum("_bs").over(mid_frame).alias("_ms"),
-        F.max("_bx").over(mid_frame).alias("_mx"))
-
-    # Partial buckets: own bucket's earlier rows + bucket b-k's rows shifted by one window.
-    cur = rows.select("transaction_id", "card_number", "transaction_ts", "amount", "_m", "_b",
-                      F.lit(0).alias("_kind"))
-    exp = rows.select(F.lit(None).cast("string").alias("transaction_id"), "card_number",
-                      F.lit(None).cast("timestamp_ntz").alias("transaction_ts"), "amount",
-                      (F.col("_m") + F.lit(w_us)).alias("_m"), (F.col("_b") + F.lit(k)).alias("_b"),
-                      F.lit(1).alias("_kind"))
-    both = cur.unionByName(exp)
-    grp = Window.partitionBy("card_number", "_b").orderBy("_m")
-    before = grp.rangeBetween(Window.unboundedPreceding, -1)
-    after = grp.rangeBetween(1, Window.unboundedFollowing)
-    cur_amt = F.when(F.col("_kind") == 0, F.col("amount"))
-    exp_amt = F.when(F.col("_kind") == 1, F.col("amount"))
-    parts = both.select(
-        "transaction_id", "card_number", "transaction_ts", "amount", "_b", "_kind",
-        F.count(cur_amt).over(before).alias("_pc"), F.sum(cur_amt).over(before).alias("_ps"),
-        F.max(cur_amt).over(before).alias("_px"),
-        F.count(exp_amt).over(after).alias("_ec"), F.sum(exp_amt).over(after).alias("_es"),
-        F.max(exp_amt).over(after).alias("_ex"),
-    ).filter(F.col("_kind") == 0)
-
-    out = parts.join(mid, ["card_number", "_b"], "left")
-    zero = F.lit(0)
-    return out.select(
+    second = F.floor(F.col("_m") / SECOND_US).cast("long")
+    instants = rows.groupBy("card_number", "_m").agg(
+        F.count("amount").alias("_n"), F.sum("amount").cast(_MONEY).alias("_s"), F.max("amount").alias("_x"))
+    seconds = _sums(instants, "card_number", second.alias("_sec"))
+    whole_hours = _sums(seconds, "card_number", F.floor(F.col("_sec") / HOUR_S).cast("long").alias("_hour"))
+
+    inner = _around(instants, "_m", SECOND_US, hours * HOUR_S * SECOND_US, ["_n1", "_s1", "_x1"])
+    outer = _around(seconds, "_sec", HOUR_S, hours * HOUR_S, ["_n2", "_s2", "_x2"])
+    # one row an hour; no hour lies whole between the ends of a window of one
+    between = Window.partitionBy("card_number").orderBy("_hour").rangeBetween(-max(1, hours - 1), -1)
+    whole_hours = whole_hours if hours > 1 else whole_hours.where("false")
+    middle = whole_hours.select("card_number", "_hour", F.sum("_n").over(between).alias("_n3"),
+                                F.sum("_s").over(between).cast(_MONEY).alias("_s3"), F.max("_x").over(between).alias("_x3"))
+
+    keyed = inner.withColumn("_sec", second).withColumn("_hour", F.floor(F.col("_sec") / HOUR_S).cast("long"))
+    pieces = keyed.join(outer, ["card_number", "_sec"], "left").join(middle, ["card_number", "_hour"], "left")
+    total = pieces.select(
+        "card_number", "_m",
+        (_plus(F.col("_n1"), F.col("_n2")) + F.coalesce("_n3", F.lit(0))).alias("_n"),
+        (_plus(F.col("_s1"), F.col("_s2")) + F.coalesce("_s3", F.lit(0))).cast(_MONEY).alias("_s"),
+        F.greatest("_x1", "_x2", "_x3").alias("_x"))
+    return rows.join(total, ["card_number", "_m"], "left").select(
         "transaction_id", "card_number", "transaction_ts", "amount",
-        (F.col("_pc") + F.col("_ec") + F.coalesce(F.col("_mc"), zero)).alias("txn_count_24h"),
-        (F.coalesce(F.col("_ps"), zero) + F.coalesce(F.col("_es"), zero) + F.coalesce(F.col("_ms"), zero))
-        .alias("spend_24h"),
-        F.coalesce(F.greatest(F.col("_px"), F.col("_ex"), F.col("_mx")), zero).alias("max_txn_24h"))
-
-
-def busiest_card_rows(v: DataFrame) -> int:
-    """Rows of the most frequent card (one partial aggregation over the card column)."""
-    r = v.groupBy("card_number").count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
-def card_velocity(v: DataFrame, hours: int = 24, method: str = "auto", buckets_per_window: int | None = None,
-                  max_rows_per_card: int = 2_000_000) -> DataFrame:
-    """Per-transaction velocity over the card's previous ``hours`` (open interval).
-
-    ``method="auto"`` measures the busiest card first: if every card fits in one
-    task (at most ``max_rows_per_card`` rows) the single-shuffle per-card window
-    is used, otherwise the skew-proof bucketed plan.  Both are exact.
-    """
-    w_us = hours * HOUR_US
-    if method == "auto":
-        method = "window" if busiest_card_rows(v) <= max_rows_per_card else "bucketed"
-    if method == "window":
-        return _window_method(v, w_us)
-    k = buckets_per_window or hours
-    return _bucketed_method(v, w_us, k)
+        F.coalesce("_n", F.lit(0)).alias(f"txn_count_{hours}h"),
+        F.coalesce("_s", F.lit(0)).alias(f"spend_{hours}h"),
+        F.coalesce("_x", F.lit(0)).alias(f"max_txn_{hours}h"))
