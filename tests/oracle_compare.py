@@ -110,7 +110,7 @@ if __name__ == "__main__":
     import __spark_entry__ as E
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(E.queries())
+    names = sys.argv[2:] or list(E.oracle_sql())
     spark = local_session(8)
     con = duck(sf)
     bad = 0
