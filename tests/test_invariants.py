@@ -80,15 +80,14 @@ def _np_pct(vals, p):
     return vals[lo] + (vals[hi] - vals[lo]) * (pos - lo)
 
 
-@pytest.mark.parametrize("exact_limit,bins", [(20_000, 1024), (7, 4), (3, 2)])
-def test_percentiles_match_numpy(spark, exact_limit, bins):
+def test_percentiles_match_numpy(spark):
     rnd = random.Random(7)
     data = [(g, float(x)) for g in ("a", "b", None) for x in
             [rnd.choice([rnd.gauss(0, 1), rnd.randint(0, 5), 1e6 * rnd.random()]) for _ in range(300)]]
     data += [("c", 5.0)] * 40
     df = spark.createDataFrame(data, "g string, v double")
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p100": 1.0}
-    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", probs, exact_limit=exact_limit, bins=bins).collect()}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", probs).collect()}
     for g in ("a", "b", None, "c"):
         vals = [v for k, v in data if k == g]
         for name, p in probs.items():
@@ -100,7 +99,7 @@ def test_percentiles_heavy_tail_converge(spark):
     data = [("x", float(rnd.lognormvariate(0, 4))) for _ in range(3000)] + [("x", 0.5)] * 50
     df = spark.createDataFrame(data, "g string, v double")
     probs = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
-    got = exact_percentiles(df, ["g"], "v", probs, exact_limit=40, bins=8).first()
+    got = exact_percentiles(df, ["g"], "v", probs).first()
     vals = [v for _, v in data]
     for name, p in probs.items():
         assert got[name] == _np_pct(vals, p), name
@@ -116,16 +115,46 @@ def test_percentiles_empty_and_all_null_groups(spark):
     assert empty.count() == 0 and empty.columns == ["g", "p50"]
 
 
-def test_percentiles_many_groups_fallback(spark):
+def test_percentiles_many_groups(spark):
     rnd = random.Random(5)
     data = [(g, float(rnd.randint(0, 50))) for g in range(30) for _ in range(rnd.randint(1, 12))]
     df = spark.createDataFrame(data, "g int, v double")
     probs = {"p25": 0.25, "p50": 0.5, "p95": 0.95}
-    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", probs, max_groups=5,
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", probs,
                                                 extra_aggs={"n": F.count(F.lit(1))}).collect()}
     assert len(got) == 30
     for g in range(30):
         vals = [v for k, v in data if k == g]
         assert got[g]["n"] == len(vals)
         for name, p in probs.items():
-            assert got[g][name] == pytest.approx(_np_pct(vals, p), rel=1e-12), (g, name)
+            assert got[g][name] == _np_pct(vals, p), (g, name)
+
+
+def test_percentiles_of_close_signed_and_special_values(spark):
+    """Neighbours in the last bit, powers of two, subnormals, both zeros and infinities keep their order."""
+    rnd = random.Random(3)
+    vals = [float(np.nextafter(x, y)) for x in (1.0, -2.0, 1024.0, 5e-324, 1e300) for y in (-np.inf, x, np.inf)]
+    vals += [0.0, -0.0, np.inf, -np.inf] + [rnd.choice([-1, 1]) * 2.0 ** rnd.randint(-1074, 1023) for _ in range(200)]
+    rnd.shuffle(vals)
+    df = spark.createDataFrame([(x,) for x in vals], "v double")
+    n = len(vals)
+    probs = {f"p{i}": i / (n - 1) for i in range(0, n, 9)}
+    got = exact_percentiles(df, [], "v", probs).first()
+    want = sorted(vals)
+    for i in range(0, n, 9):
+        pos = (n - 1) * probs[f"p{i}"]
+        lo, hi = want[int(np.floor(pos))], want[int(np.ceil(pos))]
+        assert got[f"p{i}"] == (lo if lo == hi else lo + (hi - lo) * (pos - np.floor(pos))), i
+
+
+def test_percentiles_run_nothing_when_defined(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.sqrt(F.col("id")).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("defined", "")
+    try:
+        got = exact_percentiles(rows, ["g"], "v", {"p50": 0.5})
+        assert not tracker.getJobIdsForGroup("defined")
+        assert got.count() == 3
+        assert tracker.getJobIdsForGroup("defined")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -1,7 +1,7 @@
 """Physical-plan checks: the rewrites keep the shapes we designed for."""
 
 from conftest import SF_SMALL
-from txnlens.operators import features, transactions, velocity
+from txnlens.operators import customers, features, transactions, velocity
 from txnlens.plans.catalog import fixture_stages
 
 
@@ -57,5 +57,18 @@ def test_top_fraud_ranks_after_limit(spark):
 
 def test_rapid_fire_is_equi_join(spark):
     f = fixture_stages(spark, SF_SMALL).get("features")
-    p = plan(transactions.rapid_fire(f))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(transactions.rapid_fire(f))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert "NestedLoop" not in p and "Cartesian" not in p
+    keys = [line for line in p.splitlines() if "SortMergeJoin [" in line]
+    assert len(keys) == 1 and all(k in keys[0] for k in ("[l_card_number", ", _jb", "[r_card_number", ", _rb")), keys
+
+
+def test_first_vs_returning_has_hash_aggregates_only(spark):
+    f = fixture_stages(spark, SF_SMALL).get("features")
+    p = plan(customers.first_vs_returning(f))
+    assert "SortAggregate" not in p and "HashAggregate" in p

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from txnlens.operators import cleaning
+from txnlens.operators.features import category_stats
+from txnlens.operators.transactions import daily_volume
 from txnlens.plans.catalog import fixture_stages
 from txnlens.plans.batch import run_all
 from txnlens.schema import RAW_COLUMNS
 from txnlens.sources.raw import read_raw_csv, read_raw_parquet
-from txnlens.streaming.ingest import (batch_category_stats, daily_volume_stream, read_raw_stream,
-                                      start_parquet_sink, stream_features)
+from txnlens.streaming.ingest import read_raw_stream, start_parquet_sink, start_report_sink, stream_features
 
 
 def _fresh():
@@ -33,16 +34,21 @@ def test_csv_round_trip_matches_parquet(spark):
 def test_run_all_writes_reports(spark):
     st = fixture_stages(spark, SF_SMALL)
     out = _fresh()
-    paths = run_all(spark, st.raw, out, names=["fraud_summary", "fraud_by_state"])
+    paths = run_all(spark, st.raw, out, names=["fraud_summary", "fraud_by_state", "clean_transactions", "fraud_features",
+                                               "duplicate_ids"])
     assert spark.read.parquet(paths["fraud_summary"]).first().total_transactions == 862
-    assert os.path.isdir(f"{out}/features")
+    # The wide tables are their own reports, each written once.
+    (base,) = {os.path.dirname(paths[n]) for n in ("clean_transactions", "fraud_features")}
+    assert (paths["clean_transactions"], paths["fraud_features"]) == (f"{base}/clean", f"{base}/features")
+    assert sorted(os.listdir(f"{base}/reports")) == ["duplicate_ids", "fraud_by_state", "fraud_summary"]
+    assert spark.read.parquet(paths["fraud_features"]).count() == 862
 
 
 def test_streaming_features_match_batch(spark):
     st = fixture_stages(spark, SF_SMALL)
     d = _fresh()
     st.raw.repartition(4).write.parquet(f"{d}/in")
-    stats = batch_category_stats(st.get("validated"))
+    stats = category_stats(st.get("validated"))
     feats = stream_features(read_raw_stream(spark, f"{d}/in", max_files_per_trigger=1), stats)
     q = start_parquet_sink(feats, f"{d}/out", f"{d}/ckpt", trigger_once=True)
     q.awaitTermination()
@@ -51,14 +57,14 @@ def test_streaming_features_match_batch(spark):
     batch = st.get("features")
     cols = ["transaction_id", "amount", "customer_age", "is_far_from_home", "city_tier"]
     assert got.select(cols).exceptAll(batch.select(cols)).count() == 0
-    daily = daily_volume_stream(spark.readStream.schema(got.schema).parquet(f"{d}/out"), "0 seconds")
-    q2 = start_parquet_sink(daily, f"{d}/daily", f"{d}/ckpt2", trigger_once=True)
+    # One trigger a file, so most rows of a day come late: none is dropped.
+    files = spark.readStream.schema(got.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/out")
+    q2 = start_report_sink(daily_volume(files), f"{d}/daily", f"{d}/ckpt2", trigger_once=True)
     q2.awaitTermination()
-    # Days still open at the watermark are not emitted yet; emitted days equal the batch report.
-    from txnlens.operators.transactions import daily_volume
-    emitted = spark.read.parquet(f"{d}/daily")
-    assert emitted.count() > 0
-    assert emitted.exceptAll(daily_volume(batch)).count() == 0
+    last = max(int(x.split("=")[1]) for x in os.listdir(f"{d}/daily") if x.startswith("batch="))
+    emitted, want = spark.read.parquet(f"{d}/daily/batch={last}"), daily_volume(batch)
+    assert last > 0 and emitted.count() == want.count()
+    assert emitted.exceptAll(want).count() == 0
 
 
 def test_month_partitioned_features_prune(spark):

@@ -116,25 +116,26 @@ def first_vs_returning(f: DataFrame) -> DataFrame:
     """Fraud on a card's first observed transaction(s) vs the rest.
 
     Pure aggregation, no self-join and no per-card window: rows are first
-    pre-aggregated per (card, ts); per card, ``min(struct(ts, ...))`` picks the
-    earliest instant's partial sums (all ties at that instant count as
-    "first"), and the card totals give the returning part by subtraction.
+    pre-aggregated per (card, ts); per card, ``min_by`` picks the earliest instant's
+    partial sums (all ties at that instant count as "first"), and the card totals
+    give the returning part by subtraction.  All buffers have a fixed width, so
+    both steps stay hash aggregates.
     """
     per_ts = f.groupBy("card_number", "transaction_ts").agg(
         X.n_rows().alias("n"), F.sum("is_fraud").alias("fr"),
         F.sum("amount").alias("amt"), F.count("amount").alias("amt_n"))
     per_card = per_ts.groupBy("card_number").agg(
-        F.min(F.struct("transaction_ts", "n", "fr", "amt", "amt_n")).alias("first"),
+        *[F.min_by(c, "transaction_ts").alias(f"first_{c}") for c in ("n", "fr", "amt", "amt_n")],
         F.sum("n").alias("n"), F.sum("fr").alias("fr"), F.sum("amt").alias("amt"), F.sum("amt_n").alias("amt_n"))
     first_label, returning_label = S.CUSTOMER_TYPE_LABELS
     # One pass over the per-card rows: each card emits its "first" and its "returning" part.
     parts = per_card.select(F.explode(F.array(
-        F.struct(F.lit(first_label).alias("customer_type"), F.col("first.n").alias("n"),
-                 F.col("first.fr").alias("fr"), F.col("first.amt").alias("amt"),
-                 F.col("first.amt_n").alias("amt_n")),
-        F.struct(F.lit(returning_label).alias("customer_type"), (F.col("n") - F.col("first.n")).alias("n"),
-                 (F.col("fr") - F.col("first.fr")).alias("fr"), (F.col("amt") - F.col("first.amt")).alias("amt"),
-                 (F.col("amt_n") - F.col("first.amt_n")).alias("amt_n")))).alias("p")).select("p.*")
+        F.struct(F.lit(first_label).alias("customer_type"), F.col("first_n").alias("n"),
+                 F.col("first_fr").alias("fr"), F.col("first_amt").alias("amt"),
+                 F.col("first_amt_n").alias("amt_n")),
+        F.struct(F.lit(returning_label).alias("customer_type"), (F.col("n") - F.col("first_n")).alias("n"),
+                 (F.col("fr") - F.col("first_fr")).alias("fr"), (F.col("amt") - F.col("first_amt")).alias("amt"),
+                 (F.col("amt_n") - F.col("first_amt_n")).alias("amt_n")))).alias("p")).select("p.*")
     total_n = F.sum("n")
     return (parts.filter(F.col("n") > 0)
             .groupBy("customer_type")

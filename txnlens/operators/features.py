@@ -60,8 +60,7 @@ def geo_features(v: DataFrame) -> DataFrame:
 def amount_features(v: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
     """Per-row z-score against the category mean/std, p95 flag and log-scale bucket."""
     # The workload also computes a per-category median that no output uses; only p95 is needed.
-    # avg/std ride along in the percentile operator's first pass; the result is broadcast only
-    # behind a check of its size.
+    # The statistics are broadcast only behind a check of their size.
     stats = exact_percentiles(v.filter(F.col("category").isNotNull()), ["category"], "amount",
                               {"cat_p95_amount": 0.95},
                               extra_aggs={"cat_avg_amount": F.avg("amount"),
@@ -88,9 +87,17 @@ def merchant_loyalty(v: DataFrame) -> DataFrame:
             .orderBy(F.desc("visit_count"), "card_number", "merchant_name"))
 
 
-def features(v: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
-    """The wide feature table: validated columns + 8 features (NULL category dropped)."""
-    stats = v.groupBy("category").agg(F.avg("amount").alias("_cat_avg"), F.stddev_samp("amount").alias("_cat_std"))
+def category_stats(v: DataFrame) -> DataFrame:
+    """Mean and standard deviation of the amount per category, one row each."""
+    return v.groupBy("category").agg(F.avg("amount").alias("_cat_avg"), F.stddev_samp("amount").alias("_cat_std"))
+
+
+def features(v: DataFrame, max_broadcast_rows: int = 100_000, stats: DataFrame | None = None) -> DataFrame:
+    """The wide feature table: validated columns + 8 features (NULL category dropped).
+
+    ``stats`` are those of ``v`` unless given (a stream takes them from a batch).
+    """
+    stats = category_stats(v) if stats is None else stats
     km = _km()
     base = v.select("*",
                     _age().alias("customer_age"),
@@ -99,9 +106,8 @@ def features(v: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
                     X.flag(F.col("transaction_hour").between(*S.LATE_NIGHT_HOURS)).alias("is_late_night"),
                     km.alias("geo_distance_km"))
     joined = join_small(base, stats, "category", "inner", max_broadcast_rows)
-    cols = [c for c in v.columns]
     return joined.select(
-        *cols, "customer_age", "day_of_week", "is_weekend", "is_late_night", "geo_distance_km",
+        *v.columns, "customer_age", "day_of_week", "is_weekend", "is_late_night", "geo_distance_km",
         X.flag(F.col("geo_distance_km") > S.FAR_FROM_HOME_KM).alias("is_far_from_home"),
         ((F.col("amount") - F.col("_cat_avg")) / F.nullif(F.col("_cat_std"), F.lit(0.0))).alias("amount_z_score"),
         X.city_tier("city_pop").alias("city_tier"))

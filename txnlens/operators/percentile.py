@@ -1,196 +1,83 @@
-"""Exact continuous percentiles (PERCENTILE_CONT) for a bounded number of groups.
-
-Spark's exact ``percentile`` keeps a value->count map per group in one task;
-with two groups (fraud vs legit) over raw doubles that map grows with the
-data.  This operator instead *selects* the needed order statistics by
-distributed histogram refinement:
-
-1. one aggregation gives ``n``, ``min`` and ``max`` per group;
-2. each round aggregates, per open search interval, a ``bins``-way
-   equal-width (or, for wide positive ranges, log-width) histogram (count, min, max per bin) — a partial-aggregated
-   shuffle of at most ``intervals x bins`` keys — and narrows every search to
-   the single bin holding its rank;
-3. once an interval holds at most ``exact_limit`` rows, a running count over
-   its distinct values (one bounded window per interval) locates each rank.
-
-Only group counts, histograms (``intervals x bins`` rows) and the resolved
-values reach the driver; no unbounded group is ever gathered into one task.  Interpolation follows
-``lo + (hi - lo) * frac`` with ``pos = (n - 1) * p``.
+"""Exact continuous percentiles (PERCENTILE_CONT) as one lazy plan.
+
+Spark's exact ``percentile`` keeps a value -> count map per group in one task; with two
+groups (fraud and legitimate) over raw doubles that map grows with the data.  Here rows are
+first counted per (group, value), and values fall into nested buckets that keep their order:
+sign and binary exponent, then the leading ``_BITS`` bits of the mantissa, then the value itself.
+Running counts over the exponents of a group (some 4,200 at most) tell which exponent holds a
+rank, running counts over that exponent's mantissa buckets (2 ** 21 at most) tell which of
+them does, and only the values of that one bucket are put in order.  So no task ever holds a
+whole group, however many rows or groups there are; nothing runs before the result is asked
+for, and nothing passes the driver.  Interpolation follows ``lo + (hi - lo) * frac`` with
+``pos = (n - 1) * p``.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..plans.local import literal_frame
-
-
-_RANK_SPAN = 1 << 32  # interval id and in-interval rank packed into one long
-
 
-def _interval_frame(spark, key_fields, intervals):
-    fields = list(key_fields) + [T.StructField("_iid", T.LongType()), T.StructField("_lo", T.DoubleType()),
-                                 T.StructField("_hi", T.DoubleType())]
-    rows = [tuple(iv["key"]) + (iv["iid"], iv["lo"], iv["hi"]) for iv in intervals]
-    return literal_frame(spark, rows, T.StructType(fields))
+_BITS = 20
+_INFINITE, _NAN = 4000, 5000  # beyond every exponent, which lie between -1074 and 1024
+_SHIFT = 1100  # makes exponents positive, so that the sign can order them
 
 
-def _match(data, ivs, keys):
-    cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    for k in keys:
-        cond = cond & data[k].eqNullSafe(ivs[k])
-    return data.join(F.broadcast(ivs), cond, "inner")
+def _buckets(v: Column) -> tuple[Column, Column]:
+    """Order-preserving (exponent, mantissa) buckets; NaN is the largest value, as in Spark's order."""
+    size = F.abs(v)
+    sign = F.signum(v).cast("long")
+    special = F.isnan(v) | (size == float("inf")) | (size == 0)
+    finite = F.when(~special, size)
+    exponent = F.floor(F.log2(finite))
+    mantissa = F.floor(finite / F.pow(F.lit(2.0), exponent) * float(1 << _BITS))
+    e = (F.when(F.isnan(v), F.lit(_NAN)).when(size == float("inf"), F.when(v > 0, _INFINITE).otherwise(-_INFINITE))
+         .when(size == 0, 0).otherwise(sign * (exponent + _SHIFT)))
+    return e.cast("long"), F.coalesce(sign * mantissa, F.lit(0)).cast("long")
 
 
-def _resolve_small(spark, data, keys, key_fields, intervals) -> dict:
-    """Read ranks off intervals of at most ``exact_limit`` rows, inside Spark.
+def _holding(counts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of each search (``by`` and ``_i``) the one row whose running count passes the rank.
 
-    Rows of each interval are numbered in value order (a window over one
-    interval, so one task holds at most ``exact_limit`` rows) and only the rows
-    at the wanted ranks are kept; just those values reach the driver.
+    ``_rank`` becomes the rank inside that row.
     """
-    ivs = _interval_frame(spark, key_fields, intervals)
-    wanted = {}
-    for iv in intervals:
-        for rk in iv["ranks"]:
-            wanted[iv["iid"] * _RANK_SPAN + (rk - iv["offset"])] = (iv["key"], rk)
-    pos = F.row_number().over(Window.partitionBy("_iid").orderBy("_v")) - 1
-    ranked = _match(data, ivs, keys).select((F.col("_iid") * _RANK_SPAN + pos).alias("_k"), "_v")
-    hits = ranked.filter(F.col("_k").isin(list(wanted))).collect()
-    return {wanted[r["_k"]]: r["_v"] for r in hits}
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.col("_upto") - F.col("_c")
+    return (counts.withColumn("_upto", upto).where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+            .withColumn("_rank", F.col("_rank") - before).drop("_upto", "_c"))
 
 
-def _many_groups(first: DataFrame, data: DataFrame, keys, probs: dict, extra_aggs: dict) -> DataFrame:
-    """More groups than the driver should track: each group is then small on
-    average, so Spark's exact ``percentile`` aggregate runs per group, fed with
-    (group, value) counts so duplicate values are merged before the shuffle.
-    (Its interpolation may differ from ``lo + (hi - lo) * frac`` in the last bit.)
-    """
-    counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    pcts = counts.groupBy(*keys).agg(*[F.percentile("_v", float(p), F.col("_c")).alias(name)
-                                      for name, p in probs.items()])
-    cond = None
-    for k in keys:
-        c = first[k].eqNullSafe(pcts[k])
-        cond = c if cond is None else cond & c
-    joined = first.join(pcts, cond, "left")  # keys are never empty here: one group never exceeds max_groups
-    return joined.select(*[first[k] for k in keys], *[first[n] for n in extra_aggs], *[pcts[n] for n in probs])
-
-
-def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, extra_aggs: dict | None = None,
-                      bins: int = 256, exact_limit: int = 200_000, max_groups: int = 10_000,
-                      max_rounds: int = 64) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys, value, probs: dict, *, extra_aggs: dict | None = None) -> DataFrame:
     """Per-group exact continuous percentiles.
 
-    ``probs`` maps output column name -> probability.  Returns one row per
-    group with the key columns, any
-    ``extra_aggs`` (name -> aggregate Column, evaluated in the same first pass
-    over ``df``) and one DOUBLE column per probability.  NULL values are
-    ignored, as in SQL.  Up to ``max_groups`` groups use the selection above;
-    beyond that the per-group exact aggregate of :func:`_many_groups` is used.
+    ``probs`` maps output column name -> probability.  Returns one row per group with the key
+    columns, any ``extra_aggs`` (name -> aggregate Column) and one DOUBLE column per
+    probability.  NULL values are ignored, as in SQL; a group of NULLs only has NULL percentiles.
     """
-    spark = df.sparkSession
-    keys = list(keys)
-    extra_aggs = extra_aggs or {}
-    vcol = (F.col(value) if isinstance(value, str) else value).cast("double")
-    data = df.select(*[F.col(k) for k in keys], vcol.alias("_v")).filter(F.col("_v").isNotNull())
-    key_fields = [data.schema[k] for k in keys]
-
-    first = df.groupBy(*keys).agg(F.count(vcol).alias("_n"), F.min(vcol).alias("_mn"), F.max(vcol).alias("_mx"),
-                                  *[c.alias(name) for name, c in extra_aggs.items()])
-    extra_fields = [first.schema[name] for name in extra_aggs]
-    group_rows = first.limit(max_groups + 1).collect()
-    if len(group_rows) > max_groups:
-        return _many_groups(first, data, keys, probs, extra_aggs)
-
-    # searches[(gkey, rank)] -> state
-    resolved: dict = {}
-    open_iv: list = []  # intervals still to split: dict(key, iid, lo, hi, cnt, offset, ranks)
-    plan = {}
-    iid = 0
-    extras = {}
-    for r in group_rows:
-        gkey = tuple(r[k] for k in keys)
-        extras[gkey] = tuple(r[name] for name in extra_aggs)
-        n = r["_n"]
-        if n == 0:
-            plan[gkey] = None
-            continue
-        wanted = {}
-        for name, p in probs.items():
-            pos = (n - 1) * float(p)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            wanted[name] = (lo, hi, pos - lo)
-        plan[gkey] = wanted
-        ranks = sorted({x for lo, hi, _ in wanted.values() for x in (lo, hi)})
-        if r["_mn"] == r["_mx"]:
-            for rk in ranks:
-                resolved[(gkey, rk)] = r["_mn"]
-            continue
-        open_iv.append(dict(key=gkey, iid=iid, lo=r["_mn"], hi=r["_mx"], cnt=n, offset=0, ranks=ranks))
-        iid += 1
-
-    for _ in range(max_rounds):
-        if not open_iv:
-            break
-        small = [iv for iv in open_iv if iv["cnt"] <= exact_limit]
-        large = [iv for iv in open_iv if iv["cnt"] > exact_limit]
-        next_iv = []
-        if small:
-            resolved.update(_resolve_small(spark, data, keys, key_fields, small))
-        if large:
-            ivs = _interval_frame(spark, key_fields, large)
-            # Equal-width bins; log-width when a positive interval spans more than
-            # ``bins``-fold, so heavy-tailed data (amounts, distances) still splits evenly.
-            lo, hi, v = F.col("_lo"), F.col("_hi"), F.col("_v")
-            linear = F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo)))
-            logw = F.floor((F.log(v) - F.log(lo)) * (F.lit(float(bins)) / (F.log(hi) - F.log(lo))))
-            use_log = (lo > 0) & (hi > lo * bins)
-            b = F.least(F.greatest(F.when(use_log, logw).otherwise(linear), F.lit(0)), F.lit(bins - 1)).cast("long")
-            hist = (_match(data, ivs, keys).withColumn("_b", b).groupBy("_iid", "_b")
-                    .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmn"), F.max("_v").alias("_bmx"))
-                    .collect())
-            by_iid = {}
-            for row in hist:
-                by_iid.setdefault(row["_iid"], []).append((row["_b"], row["_c"], row["_bmn"], row["_bmx"]))
-            for iv in large:
-                seq = sorted(by_iid.get(iv["iid"], []))
-                children: dict = {}
-                for rk in iv["ranks"]:
-                    target = rk - iv["offset"]
-                    cum = 0
-                    for bidx, c, bmn, bmx in seq:
-                        if cum + c > target:
-                            if bmn == bmx:
-                                resolved[(iv["key"], rk)] = bmn
-                            else:
-                                ch = children.setdefault(bidx, dict(key=iv["key"], lo=bmn, hi=bmx, cnt=c,
-                                                                    offset=iv["offset"] + cum, ranks=[]))
-                                ch["ranks"].append(rk)
-                            break
-                        cum += c
-                for ch in children.values():
-                    ch["iid"] = iid
-                    iid += 1
-                    next_iv.append(ch)
-        open_iv = next_iv
-    if open_iv:
-        raise RuntimeError("exact_percentiles did not converge; raise max_rounds")
-
-    out_rows = []
-    for gkey, wanted in plan.items():
-        vals = []
-        for name in probs:
-            if wanted is None:  # group without a non-NULL value
-                vals.append(None)
-                continue
-            lo, hi, frac = wanted[name]
-            vlo, vhi = resolved[(gkey, lo)], resolved[(gkey, hi)]
-            vals.append(vlo if lo == hi else vlo + (vhi - vlo) * frac)
-        out_rows.append(tuple(gkey) + extras[gkey] + tuple(vals))
-    schema = T.StructType(list(key_fields) + extra_fields + [T.StructField(name, T.DoubleType()) for name in probs])
-    return literal_frame(spark, out_rows, schema)
+    keys, extra_aggs = list(keys), extra_aggs or {}
+    group = F.struct(*keys) if keys else F.struct(F.lit(0))  # as a struct, NULL keys equal each other
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    e, m = _buckets(F.col("_v"))
+    values = (df.select(group.alias("_g"), v.alias("_v")).where(F.col("_v").isNotNull())
+              .withColumns({"_e": e, "_m": m}).groupBy("_g", "_e", "_m", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    mantissas = values.groupBy("_g", "_e", "_m").agg(F.sum("_c").alias("_c"))
+    exponents = mantissas.groupBy("_g", "_e").agg(F.sum("_c").alias("_c"))
+
+    # Two searches a probability: the values on both sides of its position.
+    n = F.sum("_c").over(Window.partitionBy("_g"))
+    searches = F.array(*[F.struct(F.lit(2 * i + side).alias("_i"), F.lit(float(p)).alias("_p"))
+                         for i, p in enumerate(probs.values()) for side in (0, 1)])
+    position = (F.col("_n") - 1) * F.col("_p")
+    found = exponents.withColumn("_n", n).select("_g", "_e", "_c", "_n", F.inline(searches)).select(
+        "_g", "_e", "_c", "_i", (position - F.floor(position)).alias("_frac"),
+        F.when(F.col("_i") % 2 == 0, F.floor(position)).otherwise(F.ceil(position)).alias("_rank"))
+    found = _holding(found, ["_g"], "_e")
+    found = _holding(mantissas.join(found, ["_g", "_e"]), ["_g", "_e"], "_m")
+    found = _holding(values.join(found, ["_g", "_e", "_m"]), ["_g", "_e", "_m"], "_v")
+
+    def ends(i: int) -> Column:
+        lo, hi, frac = (F.max(F.when(F.col("_i") == k, F.col(c))) for k, c in ((2 * i, "_v"), (2 * i + 1, "_v"), (2 * i, "_frac")))
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac)
+
+    percentiles = found.groupBy("_g").agg(*[ends(i).alias(name) for i, name in enumerate(probs)])
+    rest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in extra_aggs.items()])
+    return rest.withColumn("_g", group).join(percentiles, "_g", "left").select(*keys, *extra_aggs, *probs)

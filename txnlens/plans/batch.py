@@ -17,6 +17,8 @@ from ..operators.features import features as build_features
 from ..sources.sinks import create_view, shared_dir, write_table
 from .catalog import CATALOG, Stages
 
+#: Reports that are a stage's table itself: their path is that table, which is not written again.
+TABLE_REPORTS = {"clean_transactions": "clean", "fraud_features": "features"}
 VIEW_NAMES = {"transactions_clean": "clean", "transactions_validated": "validated",
               "transaction_features": "features"}
 
@@ -97,17 +99,20 @@ def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, nam
     """Write every report (or ``names``) as Parquet under ``out_dir``; return name -> path.
 
     The clean table is written first; the feature table is then built while
-    the reports that need only ``clean`` / ``validated`` already run.
+    the reports that need only ``clean`` / ``validated`` already run.  The clean and the
+    feature table are their own reports (``TABLE_REPORTS``); with
+    ``partition_features_by_month`` the latter has ``txn_month`` besides.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     names = list(names or CATALOG)
     stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month, defer_features=True)
-    early = [n for n in names if CATALOG[n].stage != "features"]
-    late = [n for n in names if CATALOG[n].stage == "features"]
+    tables = {n: f"{stages.out_dir}/{TABLE_REPORTS[n]}" for n in names if n in TABLE_REPORTS}
+    early = [n for n in names if n not in tables and CATALOG[n].stage != "features"]
+    late = [n for n in names if n not in tables and CATALOG[n].stage == "features"]
     with ThreadPoolExecutor(max_workers=1) as builder:
         built = builder.submit(stages.materialize_features)
         paths = write_reports(stages, early, stages.out_dir, max(concurrency - 1, 1))
         built.result()
     paths.update(write_reports(stages, late, stages.out_dir, concurrency))
-    return paths
+    return {n: (paths | tables)[n] for n in names}

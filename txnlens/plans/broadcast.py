@@ -1,30 +1,26 @@
 """Joins against small sides whose size is *checked* before broadcasting.
 
-A small side (per-category statistics, a per-group percentile table) is
-materialised once (``cache`` keeps it on executors; a lost block is recomputed
-from lineage), its row count is measured, and only then is it broadcast.  If
-it is larger than the bound, the join falls back to a shuffle join that AQE
-may still convert at runtime.
+A small side (per-category statistics) is written once to the session's shared folder, its
+rows are counted there, and only then is it broadcast.  Nothing stays cached, and a lost
+executor reads the written table again.  If it is larger than the bound, the join falls
+back to a shuffle join that AQE may still convert at runtime.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 100_000
-
+from ..sources.sinks import shared_dir, write_table
 
-def checked_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
-    """Materialise ``df`` and return ``(df, n_rows, broadcastable)``."""
-    small = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = small.count()
-    return small, n, n <= max_rows
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``big.join(small)`` broadcasting ``small`` only when its measured size is bounded."""
-    small, _, ok = checked_small(small, max_rows)
-    return big.join(F.broadcast(small) if ok else small, on, how)
+    spark = small.sparkSession
+    path = shared_dir(spark, "small")
+    write_table(small, path)
+    small = spark.read.schema(small.schema).parquet(path)
+    return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)

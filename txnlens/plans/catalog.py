@@ -117,7 +117,7 @@ class Stages:
         elif stage == "clean":
             df = cleaning.clean(self.raw)
         elif stage == "clean_dups":
-            df = cleaning.clean(self.raw_dups if self.raw_dups is not None else self.raw)
+            df = self.get("clean") if self.raw_dups is None else cleaning.clean(self.raw_dups)
         elif stage == "validated":
             df = cleaning.validated(self.get("clean"))
         elif stage == "features":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schema import RAW_COLUMNS, RAW_CSV_SCHEMA, RAW_TYPED_SCHEMA
+from ..schema import RAW_CSV_SCHEMA, RAW_TYPED_SCHEMA
 
 
 def read_raw_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -24,13 +24,3 @@ def read_raw_csv(spark: SparkSession, path: str, header: bool = True) -> DataFra
 def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Read typed raw Parquet; column pruning and filter pushdown reach the scan."""
     return spark.read.schema(RAW_TYPED_SCHEMA).parquet(path)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read any intermediate table written by ``sinks.write_table``."""
-    return spark.read.parquet(path)
-
-
-def project_raw(df: DataFrame) -> DataFrame:
-    """Keep the raw columns in canonical order (drops anything extra)."""
-    return df.select(*RAW_COLUMNS)

@@ -33,7 +33,7 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:

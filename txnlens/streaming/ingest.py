@@ -4,20 +4,18 @@ The same clean -> validate -> feature projection as the batch path, applied to
 raw files as they land.  The per-category mean/std needed for the z-score is a
 *static* table computed by the batch path (size-checked, then broadcast into a
 stream-static join), so streaming state stays empty for the row features.
-The one stateful operator is the daily volume report (F5) maintained with a
-watermark, emitted once a day can no longer change.
+A report that is an aggregate over days (F5) keeps one small row of state a day, so it
+needs no watermark and no late row is ever dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import semantics as X
 from ..operators import cleaning
-from ..operators.features import _age, _dow, _km
-from ..plans.broadcast import checked_small
+from ..operators.features import features
+from ..sources.sinks import write_table
 
 
 def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int = 64) -> DataFrame:
@@ -28,44 +26,9 @@ def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_fi
     return reader.format(fmt).load(path)
 
 
-def stream_features(raw_stream: DataFrame, category_stats: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
-    """Row features for a raw stream; ``category_stats`` = (category, cat_avg, cat_std) from batch."""
-    stats, _, ok = checked_small(category_stats.select(
-        "category", F.col("cat_avg").alias("_cat_avg"), F.col("cat_std").alias("_cat_std")), max_broadcast_rows)
-    v = cleaning.validated(cleaning.clean(raw_stream))
-    base = v.select("*", _age().alias("customer_age"), _dow().alias("day_of_week"),
-                    X.flag(_dow().isin(*S.WEEKEND_DAYS)).alias("is_weekend"),
-                    X.flag(F.col("transaction_hour").between(*S.LATE_NIGHT_HOURS)).alias("is_late_night"),
-                    _km().alias("geo_distance_km"))
-    joined = base.join(F.broadcast(stats) if ok else stats, "category", "inner")
-    return joined.select(
-        *v.columns, "customer_age", "day_of_week", "is_weekend", "is_late_night", "geo_distance_km",
-        X.flag(F.col("geo_distance_km") > S.FAR_FROM_HOME_KM).alias("is_far_from_home"),
-        ((F.col("amount") - F.col("_cat_avg")) / F.nullif(F.col("_cat_std"), F.lit(0.0))).alias("amount_z_score"),
-        X.city_tier("city_pop").alias("city_tier"))
-
-
-def batch_category_stats(validated_df: DataFrame) -> DataFrame:
-    return validated_df.groupBy("category").agg(F.avg("amount").alias("cat_avg"),
-                                                F.stddev_samp("amount").alias("cat_std"))
-
-
-def daily_volume_stream(features_stream: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """F5 incrementally: per-day totals, finalised once the watermark passes the day.
-
-    Watermarks need a zoned timestamp, so the wall-clock ``transaction_ts`` is
-    mapped to the instant it denotes in UTC and back to a date by epoch day:
-    the result does not depend on the session time zone.
-    """
-    ts = F.timestamp_micros(X.epoch_micros(F.col("transaction_ts")))
-    day = F.date_from_unix_date((F.unix_seconds(F.col("day.start")) / 86400).cast("int"))
-    return (features_stream.withColumn("_ts", ts).withWatermark("_ts", lateness)
-            .groupBy(F.window("_ts", "1 day").alias("day"))
-            .agg(X.n_rows().alias("total_txns"), X.fraud_count().alias("fraud_count"),
-                 X.fraud_rate().alias("fraud_rate_pct"), X.money_sum("amount").alias("total_value"),
-                 X.money_sum(X.fraud_amount()).alias("fraud_value"))
-            .select(day.alias("transaction_date"), "total_txns", "fraud_count",
-                    "fraud_rate_pct", "total_value", "fraud_value"))
+def stream_features(raw_stream: DataFrame, stats: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
+    """Row features for a raw stream; ``stats`` = ``features.category_stats`` of a batch."""
+    return features(cleaning.validated(cleaning.clean(raw_stream)), max_broadcast_rows, stats)
 
 
 def start_parquet_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger_once: bool = False):
@@ -75,3 +38,15 @@ def start_parquet_sink(stream: DataFrame, path: str, checkpoint: str, mode: str
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def start_report_sink(report: DataFrame, path: str, checkpoint: str, trigger_once: bool = False):
+    """Keeps an aggregated report (such as ``transactions.daily_volume`` of a feature stream) up to date.
+
+    Each trigger writes the whole report to ``path/batch=<n>``; the highest number is current.
+    """
+    w = (report.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda rows, n: write_table(rows, f"{path}/batch={n}")))
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()
