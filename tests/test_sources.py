@@ -92,6 +92,21 @@ def test_cli_runs_selected_reports(spark, capsys):
     assert spark.read.parquet(paths["fraud_summary"]).first().total_transactions == 862
 
 
+def test_shuffles_start_with_more_partitions_for_larger_input(spark):
+    from txnlens.plans.session import size_shuffles
+
+    d = _fresh()
+    fixture_stages(spark, SF_SMALL).get("raw").write.parquet(d)
+    raw = read_raw_parquet(spark, d)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert size_shuffles(spark, raw) == 8
+        assert size_shuffles(spark, raw, 1024) > 8
+        assert int(spark.conf.get(key)) > 8
+    finally:
+        spark.conf.unset(key)
+
+
 CSV_TEXT = """,trans_date_trans_time,cc_num,merchant,category,amt,first,last,gender,street,city,state,zip,lat,long,city_pop,job,dob,trans_num,unix_time,merch_lat,merch_long,is_fraud
 0,2024-06-21 12:14:25,4000000000000001,fraud_Shop A,grocery_pos,12.5,Ann,Lee,F,1 Main St,Town,ca,01234,40.5,-100.25,1200,"Engineer, civil",1980-06-01,t0,1718972065,40.6,-100.3,0
 1,2024-06-21 23:59:59,4000000000000001,fraud_Shop B,travel,999.99,Ann,Lee,F,1 Main St,Town,ca,01234,40.5,-100.25,1200,"Engineer, civil",1980-06-01,t1,1719014399,41.9,-101.5,1
@@ -121,3 +136,18 @@ def test_csv_with_unnamed_index_quotes_and_text_dates(spark):
 
     f = {r.transaction_id: r for r in features(v).collect()}
     assert f["t0"].customer_age == 44 and f["t0"].city_tier == "Rural"
+
+
+def test_cli_permissive_drops_and_counts(spark, capsys):
+    import json
+
+    from txnlens.__main__ import main
+
+    d = _fresh()
+    with open(f"{d}/raw.csv", "w") as fh:
+        fh.write(CSV_TEXT)
+    main(["--input", f"{d}/raw.csv", "--out", f"{d}/out", "--reports", "clean_transactions,fraud_summary", "--permissive"])
+    paths = json.loads(capsys.readouterr().out)
+    assert spark.read.parquet(paths["rejected_rows"]).first()[0] == 1
+    assert sorted(r.transaction_id for r in spark.read.parquet(paths["clean_transactions"]).collect()) == ["t0", "t1"]
+    assert spark.read.parquet(paths["fraud_summary"]).first().total_transactions == 2

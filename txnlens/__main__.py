@@ -14,7 +14,7 @@ import json
 
 from txnlens.plans.catalog import CATALOG
 from txnlens.plans.batch import run_all
-from txnlens.plans.session import build_session
+from txnlens.plans.session import build_session, size_shuffles
 from txnlens.sources.raw import read_raw_csv, read_raw_parquet
 
 
@@ -26,16 +26,19 @@ def main(argv=None) -> None:
     ap.add_argument("--reports", default=None, help="comma-separated report names (default: all)")
     ap.add_argument("--partition-by-month", action="store_true", help="partition the feature table by month")
     ap.add_argument("--concurrency", type=int, default=4, help="reports written concurrently (default 4)")
+    ap.add_argument("--permissive", action="store_true",
+                    help="drop and count rows with malformed critical fields (default: such a row fails the run)")
     args = ap.parse_args(argv)
 
     spark = build_session()
     raw = read_raw_csv(spark, args.input) if args.format == "csv" else read_raw_parquet(spark, args.input)
+    size_shuffles(spark, raw)
     names = args.reports.split(",") if args.reports else list(CATALOG)
     unknown = [n for n in names if n not in CATALOG]
     if unknown:
         raise SystemExit(f"unknown reports: {unknown}")
     paths = run_all(spark, raw, args.out, names, partition_features_by_month=args.partition_by_month,
-                    concurrency=args.concurrency)
+                    concurrency=args.concurrency, permissive=args.permissive)
     print(json.dumps(paths, indent=1))
 
 

@@ -33,15 +33,15 @@ class MaterializedStages(Stages):
 
     def __init__(self, spark: SparkSession, raw: DataFrame, raw_dups: DataFrame | None = None,
                  out_dir: str | None = None, partition_features_by_month: bool = False,
-                 max_rows_per_file: int | None = 2_000_000, defer_features: bool = False):
-        super().__init__(raw, raw_dups)
+                 max_rows_per_file: int | None = 2_000_000, defer_features: bool = False, permissive: bool = False):
+        super().__init__(raw, raw_dups, permissive)
         self.spark = spark
         self.out_dir = out_dir or shared_dir(spark, "txnlens")
         self.partition_features_by_month = partition_features_by_month
         self.max_rows_per_file = max_rows_per_file
         clean_path = f"{self.out_dir}/clean"
         self.features_path = f"{self.out_dir}/features"
-        write_table(cleaning.clean(raw), clean_path, max_rows_per_file=max_rows_per_file)
+        write_table(cleaning.clean(raw, permissive), clean_path, max_rows_per_file=max_rows_per_file)
         clean_df = spark.read.parquet(clean_path)
         self._cache["clean"] = clean_df
         self._cache["validated"] = cleaning.validated(clean_df)
@@ -95,18 +95,20 @@ def write_reports(stages: Stages, names, out_dir: str, concurrency: int = 4) ->
 
 def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, names=None,
             raw_dups: DataFrame | None = None, partition_features_by_month: bool = False,
-            concurrency: int = 4) -> dict[str, str]:
+            concurrency: int = 4, permissive: bool = False) -> dict[str, str]:
     """Write every report (or ``names``) as Parquet under ``out_dir``; return name -> path.
 
     The clean table is written first; the feature table is then built while
     the reports that need only ``clean`` / ``validated`` already run.  The clean and the
     feature table are their own reports (``TABLE_REPORTS``); with
-    ``partition_features_by_month`` the latter has ``txn_month`` besides.
+    ``partition_features_by_month`` the latter has ``txn_month`` besides.  A ``permissive``
+    run drops rows with malformed critical fields and counts them in the report ``rejected_rows``.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     names = list(names or CATALOG)
-    stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month, defer_features=True)
+    stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month, defer_features=True,
+                                permissive=permissive)
     tables = {n: f"{stages.out_dir}/{TABLE_REPORTS[n]}" for n in names if n in TABLE_REPORTS}
     early = [n for n in names if n not in tables and CATALOG[n].stage != "features"]
     late = [n for n in names if n not in tables and CATALOG[n].stage == "features"]
@@ -115,4 +117,8 @@ def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, nam
         paths = write_reports(stages, early, stages.out_dir, max(concurrency - 1, 1))
         built.result()
     paths.update(write_reports(stages, late, stages.out_dir, concurrency))
-    return {n: (paths | tables)[n] for n in names}
+    paths = {n: (paths | tables)[n] for n in names}
+    if permissive:
+        paths["rejected_rows"] = f"{stages.out_dir}/reports/rejected_rows"
+        write_table(cleaning.rejected_rows(raw), paths["rejected_rows"])
+    return paths

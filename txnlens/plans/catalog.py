@@ -31,7 +31,7 @@ class Op:
 
 CATALOG: dict[str, Op] = {
     # A. cleaning and audit
-    "clean_transactions": Op("raw", cleaning.clean, "A1 staging table"),
+    "clean_transactions": Op("clean", lambda c: c, "A1 staging table"),
     "duplicate_ids": Op("clean_dups", audit.duplicate_ids, "A2 duplicated transaction ids"),
     "null_audit": Op("clean", audit.null_audit, "A3"),
     "label_counts": Op("clean", audit.label_counts, "A4"),
@@ -102,10 +102,11 @@ CATALOG: dict[str, Op] = {
 
 
 class Stages:
-    """Lazily built lineage over one raw source."""
+    """Lazily built lineage over one raw source; ``permissive`` as in ``cleaning.clean``."""
 
-    def __init__(self, raw: DataFrame, raw_dups: DataFrame | None = None):
+    def __init__(self, raw: DataFrame, raw_dups: DataFrame | None = None, permissive: bool = False):
         self.raw = raw
+        self.permissive = permissive
         self.raw_dups = raw_dups
         self._cache: dict[str, DataFrame] = {}
 
@@ -115,9 +116,9 @@ class Stages:
         if stage == "raw":
             df = self.raw
         elif stage == "clean":
-            df = cleaning.clean(self.raw)
+            df = cleaning.clean(self.raw, self.permissive)
         elif stage == "clean_dups":
-            df = self.get("clean") if self.raw_dups is None else cleaning.clean(self.raw_dups)
+            df = self.get("clean") if self.raw_dups is None else cleaning.clean(self.raw_dups, self.permissive)
         elif stage == "validated":
             df = cleaning.validated(self.get("clean"))
         elif stage == "features":

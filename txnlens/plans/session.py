@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins/partition counts from
 # runtime sizes and splits skewed join partitions; the static broadcast
@@ -38,6 +38,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def size_shuffles(spark: SparkSession, raw: DataFrame, partition_bytes: int = 128 << 20) -> int:
+    """Lets AQE start shuffles with one partition for every ``partition_bytes`` of the input files.
+
+    AQE joins small partitions but cannot cut an ordinary one, so the number to start
+    with has to grow with the input; it is never set below ``spark.sql.shuffle.partitions``.
+    """
+    size = int(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // partition_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    return n
+
+
 def local_session(cpus: int | None = None, **kw) -> SparkSession:
     """A local test/bench session: ``local[cpus]`` with shuffle partitions = cpus."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
