@@ -95,7 +95,7 @@ def test_cli_runs_selected_reports(spark, capsys):
 def test_shuffles_start_with_more_partitions_for_larger_input(spark):
     from txnlens.plans.session import size_shuffles
 
-    d = _fresh()
+    d = f"{_fresh()}/raw"
     fixture_stages(spark, SF_SMALL).get("raw").write.parquet(d)
     raw = read_raw_parquet(spark, d)
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
