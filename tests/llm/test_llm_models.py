@@ -72,6 +72,22 @@ def test_html(spark):
     assert html_extract.extract(long).count("Word") == 20000
 
 
+LEAD = "A lead of some length, with commas. " * 25
+BODY = "What most of the text says, at length. "
+
+
+@pytest.mark.parametrize("part", ["<ul><li>%s</ul>", "<blockquote><p>%s</p></blockquote>", "<section><p>%s</p></section>", "<table><tr><td>%s</table>", "<div class=body><p>%s</p></div>", "<div><div><p>%s</p><p>Short.</p></div></div>"])
+@pytest.mark.parametrize("times", [5, 30, 200])
+@pytest.mark.parametrize("page", ["<article>%s</article>", "<main>%s</main>", "<body><nav>no</nav>%s</body>", "<body><div>%s</div><footer>no</footer></body>"])
+def test_html_keeps_what_stands_beside_a_majority(part, times, page):
+    text = BODY * times
+    inner = [text.strip()] + ["Short."] * ("Short." in part)
+    assert html_extract.extract(page % f"<h1>A title</h1><p>{LEAD}</p>{part % text}") == " ".join(["A title", LEAD.strip(), *inner])
+    assert html_extract.extract(page % f"<h1>A title</h1>{part % text}<p>{LEAD}</p>") == " ".join(["A title", *inner, LEAD.strip()])
+    assert html_extract.extract("x" + page % f"<h1>A title</h1><p>{LEAD}</p>{part % text}").endswith(" ".join(["A title", LEAD.strip(), *inner]))
+    assert html_extract.extract(page % f"<h1>A title</h1>{part % text}") == " ".join(["A title", *inner])
+
+
 @pytest.mark.parametrize("crowd", [1024, 10])
 def test_embeddings(spark, crowd):
     rng = np.random.default_rng(1)

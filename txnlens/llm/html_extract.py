@@ -6,8 +6,11 @@ punctuation and the number of nodes are summed. Two ratios follow, text length p
 and punctuation per node; both are smoothed over the page order with a Gaussian window,
 so that a short block between long ones counts with them, and fused by their geometric
 mean. Paths whose mean fused ratio reaches the threshold (``SHARE`` of the spread over the
-page) are content paths. The main text is every node below the container that holds
-most of the content paths' text: blocks that are short themselves stay whole.
+page) are content paths. All of their nodes are main text, and with them the short ones:
+all that stands below the element that holds most of the content paths' text, between two
+content nodes, or beside one under the same parent, and headings before an element that
+holds all of the content. Where the page marks its article or main part, that is all below
+the lowest element that holds all content paths, and all of its article.
 
 Subtrees that are furniture by their markup never count: scripts, styles, forms,
 navigation, page headers, footers, asides, hidden parts, and elements whose class, id or
@@ -44,6 +47,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas menu dialog option datalist audio video map".split())
 MARKED = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that name furniture.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar "
@@ -162,15 +166,33 @@ def extract(html: str) -> str:
         mean.setdefault(path, []).append(x)
     least = fused.min() + SHARE * (fused.max() - fused.min())
     content = {p for p, xs in mean.items() if sum(xs) / len(xs) >= least}
-    # the deepest element that holds most of the content text
+    return " ".join(text for (_, text, _), main in zip(blocks, _main(blocks, content, sums), strict=True) if main)
+
+
+def _main(blocks: list[tuple], content: set[tuple], sums: dict[tuple, list]) -> list[bool]:
+    """Which blocks are main text: those of ``content`` paths, and the short ones that belong to them."""
+    # elements by the content text below them: the lowest one with all of it, the deepest with most
     weight: dict[tuple, int] = {}
     for p in content:
         for k in range(len(p)):
             weight[p[:k]] = weight.get(p[:k], 0) + sums[p][0]
     total = sum(sums[p][0] for p in content)
-    holders = [p for p, w in weight.items() if 2 * w > total]
-    container = max(holders, key=len) if holders else ()
-    return " ".join(text for path, text, _ in blocks if path[: len(container)] == container)
+    whole = max((p for p, w in weight.items() if w == total), key=len, default=())
+    most = max((p for p, w in weight.items() if 2 * w > total), key=len, default=())
+    if all(marked for _, _, marked in blocks):
+        inner = [k for k, step in enumerate(whole) if step.split(".")[0] == "article"]
+        most = whole = whole[: inner[-1] + 1] if inner else whole
+    parents = {p[:-1] for p in content}
+    at = [k for k, (path, _, _) in enumerate(blocks) if path in content]
+
+    def belongs(k: int, path: tuple) -> bool:
+        if path in content or path[: len(most)] == most or path[:-1] in parents:
+            return True
+        if path[: len(whole)] == whole:
+            return at[0] < k < at[-1]
+        return k < at[0] and path != () and path[-1].split(".")[0] in HEADINGS and path[:-1] == whole[: len(path) - 1]
+
+    return [belongs(k, path) for k, (path, _, _) in enumerate(blocks)]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
