@@ -88,6 +88,22 @@ def test_html_keeps_what_stands_beside_a_majority(part, times, page):
     assert html_extract.extract(page % f"<h1>A title</h1>{part % text}") == " ".join(["A title", *inner])
 
 
+@pytest.mark.parametrize("name", ["container has-sidebar", "no-sidebar", "with-comments", "layout-header-fixed", "overlay", "wrap sidebar"])
+def test_html_wrapper_names_hide_nothing(name):
+    page = f"<body><div class='%s'><div class='article-header'><h1>A title</h1></div><p>{LEAD}</p><p>Short.</p><div class='comments'><p>Nice, thanks, all!</p></div><ul class='site-nav'><li>Home</ul></div><div class='site-footer'>no</div></body>"
+    want = f"A title {LEAD.strip()} Short."
+    assert html_extract.extract(page % name) == want
+    assert html_extract.extract((page % name).replace("class='" + name, "id='" + name)) == want
+
+
+def test_html_small_marked_part_is_not_all():
+    page = f"<body><div class='has-sidebar'><h1>A title</h1><p>{LEAD}</p><p>{BODY * 9}</p></div><article><h3>Teaser</h3><p>Read more, here.</p></article></body>"
+    got = html_extract.extract(page)
+    assert got.startswith(f"A title {LEAD.strip()} {(BODY * 9).strip()}")
+    marked = f"<body><div><p>Some words beside, not many.</p></div><article><h1>A title</h1><p>{LEAD}</p></article></body>"
+    assert html_extract.extract(marked) == f"A title {LEAD.strip()}"
+
+
 @pytest.mark.parametrize("crowd", [1024, 10])
 def test_embeddings(spark, crowd):
     rng = np.random.default_rng(1)

@@ -13,9 +13,11 @@ holds all of the content. Where the page marks its article or main part, that is
 the lowest element that holds all content paths, and all of its article.
 
 Subtrees that are furniture by their markup never count: scripts, styles, forms,
-navigation, page headers, footers, asides, hidden parts, and elements whose class, id or
-role names a menu, an advert, a notice, a share bar, a sidebar or comments. Where a page
-marks its article or main part, only paths in it compete.
+navigation, page headers, footers, asides and hidden parts. Elements whose class, id or
+role has a token that as a whole names a menu, an advert, a notice, a share bar, a sidebar
+or comments (``site-footer``, not ``has-sidebar``) do not count either, unless they wrap other
+elements and hold most of the page's text. Where a page's marked article or main parts hold most of the rest, only paths in
+them compete.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page order
 by one space. Nothing else is dropped or capped.
@@ -48,12 +50,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas menu dialog option datalist audio video map".split())
 MARKED = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that name furniture.
+#: Words of which a token of class, id or role that names furniture is made.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar "
     "header masthead footer sidebar aside complementary contentinfo widget related recommended newsletter subscribe subscription signup share sharing social "
     "comment comments comentarios kommentare commentaires disqus reply replies respond cookie cookies consent notice popup modal overlay alert hidden search pagination pager form login".split()
 )
+#: May stand in such a token beside them.
+BESIDE_NAMES = frozenset("site global list links box bar buttons posts".split())
 #: Opening one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Opening a tag closes an open one of these, up to the nearest boundary.
@@ -64,12 +68,13 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Blocks(HTMLParser):
-    """Text blocks of a page: (path, text), with furniture left out."""
+    """Text blocks of a page: (path, text, marked, elements around it that are furniture by name), with other furniture left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, bool]] = []  # tag, path step, furniture, marked
-        self.blocks: list[tuple[tuple, str, bool]] = []
+        self.open: list[tuple[str, str, bool, bool, tuple]] = []  # tag, path step, furniture, marked, named
+        self.blocks: list[tuple[tuple, str, bool, tuple]] = []
+        self.named = 0
         self.text: list[str] = []
 
     def flush(self) -> None:
@@ -77,7 +82,8 @@ class _Blocks(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text:
-                self.blocks.append((tuple(x[1] for x in self.open), text, bool(self.open) and self.open[-1][3]))
+                marked, named = self.open[-1][3:] if self.open else (False, ())
+                self.blocks.append((tuple(x[1] for x in self.open), text, marked, named))
 
     def _hides(self, tag: str, attrs: list) -> bool:
         if tag in FURNITURE or (tag == "header" and not any(x[0] in MARKED for x in self.open)):
@@ -87,15 +93,20 @@ class _Blocks(HTMLParser):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or ""):
                 return True
-            if name in ("class", "id", "role") and tag not in ("html", "body", *MARKED) and not NAMES.isdisjoint(_WORD.findall((value or "").lower())):
-                return True
         return False
 
+    def _names(self, tag: str, attrs: list) -> bool:
+        if tag in ("html", "body", *MARKED):
+            return False
+        tokens = (x for name, value in attrs if name in ("class", "id", "role") for x in (value or "").lower().split())
+        return any(not NAMES.isdisjoint(words) and words <= NAMES | BESIDE_NAMES for words in (set(_WORD.findall(x)) for x in tokens))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.text.append(" ")
             return
-        if tag in INLINE and not self._hides(tag, attrs):
+        by_name = self._names(tag, attrs)
+        if tag in INLINE and not by_name and not self._hides(tag, attrs):
             return
         self.flush()
         if tag in VOID:
@@ -104,9 +115,12 @@ class _Blocks(HTMLParser):
             self._close({"p"}, set())
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        hidden, marked = bool(self.open) and self.open[-1][2], bool(self.open) and self.open[-1][3]
+        hidden, marked, around = self.open[-1][2:] if self.open else (False, False, ())
+        if by_name:
+            self.named += 1
+            around += ((self.named, len(self.open) + 1),)
         named = " ".join(v or "" for k, v in attrs if k in ("class", "role"))
-        self.open.append((tag, f"{tag}.{named}" if named else tag, hidden or self._hides(tag, attrs), marked or tag in MARKED or named == "main"))
+        self.open.append((tag, f"{tag}.{named}" if named else tag, hidden or self._hides(tag, attrs), marked or tag in MARKED or named == "main", around))
 
     def _close(self, tags: set, bounds: set) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -142,14 +156,28 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
+def _unnamed(found: list[tuple]) -> list[tuple]:
+    """The blocks (path, text, marked) outside elements that are furniture by name; wrappers that hold most of the text are not."""
+    held: dict[tuple, int] = {}
+    wraps = set()
+    for path, text, _, around in found:
+        for k in around:
+            held[k] = held.get(k, 0) + len(text)
+            if len(path) > k[1]:
+                wraps.add(k)
+    total = sum(len(x[1]) for x in found)
+    return [x[:3] for x in found if all(k in wraps and 2 * held[k] > total for k in x[3])]
+
+
 def extract(html: str) -> str:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
-    blocks = parser.blocks
-    if any(marked for _, _, marked in blocks):
-        blocks = [x for x in blocks if x[2]]
+    blocks = _unnamed(parser.blocks)
+    marked = [x for x in blocks if x[2]]
+    if 2 * sum(len(x[1]) for x in marked) > sum(len(x[1]) for x in blocks):
+        blocks = marked
     if not blocks:
         return ""
     sums: dict[tuple, list] = {}
