@@ -209,6 +209,32 @@ def test_decontamination(spark, index_bytes):
     assert len(want - got) == 0
 
 
+def test_rows_of_equal_crc32_are_told_apart(spark):
+    """Two texts without an id and of one CRC-32: only the first repeats a passage, and holds an item."""
+    import zlib
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    passage = " ".join("p%d" % rng.randrange(10**6) for _ in range(90))
+    other = " ".join("q%d" % rng.randrange(10**6) for _ in range(95))
+    ends = {zlib.crc32(f"{passage} {k}".encode()): k for k in (f"{rng.getrandbits(64):016x}" for _ in range(200_000))}
+    k = next(k for k in (f"{rng.getrandbits(64):016x}" for _ in range(10**7)) if zlib.crc32(f"{other} {k}".encode()) in ends)
+    one, two = f"{passage} {ends[zlib.crc32(f'{other} {k}'.encode())]}", f"{other} {k}"
+    assert zlib.crc32(one.encode()) == zlib.crc32(two.encode()) and one != two
+    rows = [(None, one), (None, two), (5, f"x {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs, ["doc_id"]).collect()]
+    same(got, list(brute_bytes(rows, 400)))
+    later = spark.createDataFrame([(9, one), (9, two), (5, passage)], "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.substring_dedup(later).collect()]
+    same(got, [(9, 91, 90, one.split()[-1].encode()), (9, 96, 0, two.encode()), (5, 90, 0, passage.encode())])
+    assert sorted(r.text for r in corpus_pipeline.near_dups(spark, docs.where("doc_id is null"), "").collect()) == sorted([one, two])
+    found = decontaminate.matches(decontaminate.common.keyed(docs), spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    leaks = found.select(F.col("did").alias("__did"), F.col("crc").alias("__crc"))
+    assert [r.text for r in decontaminate.common.addressed(docs).join(leaks, ["__did", "__crc"], "left_anti").collect()] == [two]
+
+
 def test_empty_tables(no_docs):
     assert suffix_dedup.suffix_dedup(no_docs, ["doc_id"]).count() == 0
     assert substring_dedup.substring_dedup(no_docs).count() == 0

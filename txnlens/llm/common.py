@@ -1,8 +1,9 @@
 """Pieces that several corpus operators share.
 
-Rows are addressed by ``did`` (``doc_id``, nulls as the smallest BIGINT) and ``crc``
-(CRC-32 of the text), so that repeated rows, rows that share an id and rows without one
-keep their own results; rows equal in both are interchangeable.
+Rows are addressed by ``did`` (``doc_id``, nulls as the smallest BIGINT) and ``crc`` (the first
+16 bytes of the text's SHA-256), so that repeated rows, rows that share an id and rows
+without one keep their own results; rows equal in both have the same text and are
+interchangeable.
 """
 
 from __future__ import annotations
@@ -46,20 +47,24 @@ def release(spark: SparkSession) -> None:
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``did, crc, text`` of a table of documents; other columns are left behind. A null text is empty."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(_did(doc_id).alias("did"), F.crc32(body).alias("crc"), body.alias("text"))
+    return docs.select(_did(doc_id).alias("did"), _checksum(body).alias("crc"), body.alias("text"))
 
 
 def _did(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
 
+def _checksum(body: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
+
+
 def doc_id() -> Column:
     return F.nullif(F.col("did"), F.lit(NO_ID)).alias("doc_id")
 
 
 def addressed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__did`` and ``__crc``, the address of each row."""
-    return docs.withColumns({"__did": _did("doc_id"), "__crc": F.crc32(F.coalesce(F.col("text"), F.lit("")))})
+    return docs.withColumns({"__did": _did("doc_id"), "__crc": _checksum(F.coalesce(F.col("text"), F.lit("")))})
 
 
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:

@@ -230,7 +230,7 @@ def _search(words: np.ndarray, doc: np.ndarray, n_docs: int, index: Index) -> It
 
 def _matches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        did, crc = common.flatten(batch, "did", "crc")
+        did, crc = batch.column("did"), batch.column("crc")
         data, offsets = common.utf8(batch.column("text"))
         i, n = 0, len(offsets) - 1
         while i < n:
@@ -244,14 +244,14 @@ def _matches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                         best[d, id(item)] = (d, item.item_id, at, score, overlaps[0], overlaps[-1])
             if best:
                 rows = list(best.values())
-                d = np.array([r[0] for r in rows]) + i
+                d = pa.array(np.array([r[0] for r in rows]) + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(did[d]), pa.array(crc[d]), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64())))],
+                    [did.take(d), crc.take(d), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64())))],
                     names=["did", "crc", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
             i = j
 
 
-_FOUND = "did long, crc long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
+_FOUND = "did long, crc binary, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:

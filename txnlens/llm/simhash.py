@@ -72,9 +72,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, crc, fp`` for each row; ``crc`` is the text's CRC-32, ``fp`` the fingerprint's bits as BIGINT."""
+    """``doc_id, crc, fp`` for each row; ``crc`` the checksum of ``common``, ``fp`` the fingerprint's bits as BIGINT."""
     rows = common.keyed(docs).select(common.doc_id(), "crc", "text")
-    return rows.mapInArrow(lambda x: _fingerprints(x, shingle), "doc_id long, crc long, fp long")
+    return rows.mapInArrow(lambda x: _fingerprints(x, shingle), "doc_id long, crc binary, fp long")
 
 
 def _masks(bits: int) -> list[int]:

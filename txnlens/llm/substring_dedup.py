@@ -43,8 +43,8 @@ COVER = np.array([1, 5, 11, 24, 25, 27])
 #: Bytes whose words are hashed in one go; one longer document goes alone.
 PASS = 1 << 20
 
-_ANCHORS = "did long, crc long, at long, first long, windows long, key long, kind long"
-_MARKS = "did long, crc long, first long, windows long"
+_ANCHORS = "did long, crc binary, at long, first long, windows long, key long, kind long"
+_MARKS = "did long, crc binary, first long, windows long"
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
 def _anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     length = width - PERIOD + 1
     for batch in batches:
-        did, crc = common.flatten(batch, "did", "crc")
+        did, crc = batch.column("did"), batch.column("crc")
         for i, _, words, doc, first in _documents(batch):
             inner = np.arange(len(words)) - first[doc]
             count = np.diff(first)[doc]
@@ -85,14 +85,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             a = np.maximum(0, at - (PERIOD - 1))
             b = np.minimum(at, count[t] - width)
             kind = kinds.spans(base + a, base + b + width) ^ mix64((at - a).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[i + doc[t]], crc[i + doc[t]], at, a, b - a + 1, signed(keys.spans(t, t + length)), signed(kind))],
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(i + doc[t])) for x in (did, crc)] + [pa.array(x) for x in (at, a, b - a + 1, signed(keys.spans(t, t + length)), signed(kind))],
                                              names=["did", "crc", "at", "first", "windows", "key", "kind"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The windows that contain one of the anchors ``ats`` of their document."""
     for batch in batches:
-        did, crc = common.flatten(batch, "did", "crc")
+        did, crc = batch.column("did"), batch.column("crc")
         ats = batch.column("ats")
         for i, j, words, _, first in _documents(batch):
             one, two = Rolling(words, BASES[0]), Rolling(words, BASES[1])
@@ -104,7 +104,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 np.add.at(change, np.minimum(at, n - 1) + 1, -1)
                 s = np.flatnonzero(np.cumsum(change)[:n] > 0)
                 w = first[r - i] + s
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), did[r])), pa.array(np.full(len(s), crc[r])), pa.array(s), pa.array(signed(one.spans(w, w + width))), pa.array(signed(two.spans(w, w + width)))],
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(np.full(len(s), r))) for x in (did, crc)), pa.array(s), pa.array(signed(one.spans(w, w + width))), pa.array(signed(two.spans(w, w + width)))],
                                                  names=["did", "crc", "first", "one", "two"])
 
 
@@ -125,7 +125,7 @@ def earlier_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     ats = judged.where("mixed and not later").groupBy("did", "crc").agg(F.collect_set("at").alias("ats"))
     windows = common.keep(docs.join(ats, ["did", "crc"]).select("did", "crc", "text", "ats").mapInArrow(
-        lambda x: _windows(x, width), "did long, crc long, first long, one long, two long"), "windows")
+        lambda x: _windows(x, width), "did long, crc binary, first long, one long, two long"), "windows")
     common.release(spark)
     starts = windows.groupBy("one", "two").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").select("one", "two", "least")
     starts = common.keep(starts, "starts")

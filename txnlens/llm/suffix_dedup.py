@@ -50,13 +50,13 @@ PASS = 1 << 19
 BATCH = 1 << 15
 _PLACE = np.uint64((1 << 20) - 1)
 
-_ANCHORS = "did long, crc long, start long, windows int, times int, ahead int, key long, kind long"
-_MARKS = "did long, crc long, start long, windows long"
+_ANCHORS = "did long, crc binary, start long, windows int, times int, ahead int, key long, kind long"
+_MARKS = "did long, crc binary, start long, windows long"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        did, crc = common.flatten(batch, "did", "crc")
+        did, crc = batch.column("did"), batch.column("crc")
         data, offsets = common.utf8(batch.column("text"))
         for i, j, lo, hi in common.passes(offsets, PASS, width - 1):
             if hi - lo < width:
@@ -83,7 +83,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterat
             last = last[head + times - 1]
             first, p, own, key, kind = first[head], p[head], own[head], key[head], kind[head]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (did[own], crc[own], first + lo - offsets[own], (last - first + 1).astype(np.int32), times.astype(np.int32), (p - first).astype(np.int32), signed(key), signed(kind))],
+                [x.take(pa.array(own)) for x in (did, crc)] + [pa.array(x) for x in (first + lo - offsets[own], (last - first + 1).astype(np.int32), times.astype(np.int32), (p - first).astype(np.int32), signed(key), signed(kind))],
                 names=["did", "crc", "start", "windows", "times", "ahead", "key", "kind"])
 
 
@@ -160,7 +160,7 @@ def _sort_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
                     for column, x in zip(out, (did, crc, start + int(a), int(k)), strict=True):
                         column.append(x)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["did", "crc", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k == 1 else pa.int64()) for k, x in enumerate(out)], names=["did", "crc", "start", "windows"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("key", "did", "crc", "start", "ahead", "n", "piece")), strict=True):
@@ -175,7 +175,8 @@ def _sort_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 
 def _single_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        did, crc, start, n = common.flatten(batch, "did", "crc", "start", "n")
+        did, crc = batch.column("did"), batch.column("crc")
+        start, n = common.flatten(batch, "start", "n")
         data, offsets = common.utf8(batch.column("piece"))
         for i, j, lo, hi in common.passes(offsets, PASS, width - 1):
             values = BYTE_VALUES[data[lo:hi]]
@@ -183,7 +184,7 @@ def _single_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             doc = np.repeat(np.arange(i, j), np.diff(np.clip(offsets[i : j + 1], lo, hi) - lo))
             s = np.flatnonzero(doc[: len(one)] == doc[width - 1 :]) if len(one) else np.zeros(0, np.int64)
             own = doc[s]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[own], crc[own], start[own] + s + lo - offsets[own], n[own], signed(one[s]), signed(two[s]))],
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(own)) for x in (did, crc)] + [pa.array(x) for x in (start[own] + s + lo - offsets[own], n[own], signed(one[s]), signed(two[s]))],
                                              names=["did", "crc", "start", "n", "one", "two"])
 
 
@@ -216,7 +217,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     to_sort = pieces.where(~F.col("crowded")).drop("crowded").repartition(parts, "key").sortWithinPartitions("key")
     ordered = to_sort.mapInArrow(lambda x: _sort_spans(x, width), _MARKS)
     single = pieces.where("crowded").select("did", "crc", "start", "n", "piece").mapInArrow(
-        lambda x: _single_windows(x, width), "did long, crc long, start long, n long, one long, two long")
+        lambda x: _single_windows(x, width), "did long, crc binary, start long, n long, one long, two long")
     again = common.keep(single.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1").select("one", "two"), "again")
     lone = single.where("n = 1").join(again, ["one", "two"]).select("did", "crc", "start", F.lit(1).cast("long").alias("windows"))
     columns = ["did", "crc", "start", F.col("windows").cast("long").alias("windows")]
