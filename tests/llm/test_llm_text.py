@@ -209,6 +209,18 @@ def test_decontamination(spark, index_bytes):
     assert len(want - got) == 0
 
 
+def test_copies_with_insertions_at_every_offset(spark):
+    item = " ".join(f"q{k}" for k in range(27)) + ".\n" + " ".join(f"a{k}" for k in range(5))
+    words = item.split()
+    texts = []
+    for more in (0, 8, 32, 64):
+        for offset in range(32):
+            grown = words[:12] + [f"n{k}" for k in range(more)] + words[12:]
+            texts.append((len(texts), " ".join([f"b{k}" for k in range(offset)] + grown + [f"c{k}" for k in range(50)])))
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [d for d, _ in texts]
+
+
 def test_rows_of_equal_crc32_are_told_apart(spark):
     """Two texts without an id and of one CRC-32: only the first repeats a passage, and holds an item."""
     import zlib

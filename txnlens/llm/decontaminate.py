@@ -3,8 +3,9 @@
 Words are runs of letters and digits, lower-cased (bytes beyond ASCII count as letters). The
 items are the documents of a BM25 index; each passage of the corpus is a query of its
 distinct words. Items are indexed by length class (a power of two at least their
-number of words), and passages for a class of ``c`` words are ``2 * c`` long and start every
-``c`` words, so that any copy of an item lies whole in one passage.
+number of words), and passages for a class of ``c`` words are ``SPAN * c`` long and start every
+``c`` words, so that any copy of an item lies whole in one passage, also one that insertions
+have grown to ``(SPAN - 1) * c`` words.
 
 Retrieval is block-max WAND. The items of a class, ordered by their threshold, form blocks;
 for each word a block keeps its greatest impact. A passage whose sum of block maxima is
@@ -45,6 +46,7 @@ from txnlens.llm.substring_dedup import word_hashes
 SHINGLE = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
+SPAN = 4
 BLOCK = 8
 INDEX_BYTES = 1 << 20
 PASS = 1 << 20
@@ -191,7 +193,7 @@ def _search(words: np.ndarray, doc: np.ndarray, n_docs: int, index: Index) -> It
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     count = np.diff(first)
     c = index.length
-    passages = np.maximum(1, -(-count // c) - 1)
+    passages = np.maximum(1, -(-count // c) - (SPAN - 1))
     base = np.concatenate([[0], np.cumsum(passages)])
     known = np.flatnonzero(index.seen[words >> np.uint64(46)])
     term = np.searchsorted(index.vocabulary, words[known])
@@ -203,8 +205,7 @@ def _search(words: np.ndarray, doc: np.ndarray, n_docs: int, index: Index) -> It
     own = doc[known]
     k = (known - first[own]) // c
     size = len(index.vocabulary)
-    here, before = k < passages[own], k > 0
-    keys = np.concatenate([((base[own] + k) * size + term)[here], ((base[own] + k - 1) * size + term)[before]])
+    keys = np.concatenate([((base[own] + k - j) * size + term)[(k >= j) & (k - j < passages[own])] for j in range(SPAN)])
     keys.sort()
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     query, terms = keys // size, keys % size
@@ -218,7 +219,7 @@ def _search(words: np.ndarray, doc: np.ndarray, n_docs: int, index: Index) -> It
         passage = int(query[starts[q]])
         d = int(np.searchsorted(base, passage, "right")) - 1
         lo = int(first[d]) + (passage - int(base[d])) * c
-        hi = min(int(first[d + 1]), lo + 2 * c)
+        hi = min(int(first[d + 1]), lo + SPAN * c)
         for item, score in hits:
             x = index.items[item]
             if x.width not in shingles:
