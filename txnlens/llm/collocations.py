@@ -7,8 +7,8 @@ A text is lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and thos
    and beyond ``ENTRIES`` entries whole subtrees leave as sorted runs. The runs are dealt by
    language and prefix (the first two words) and merged there.
 2. Words are counted first, then phrases of two, then of three. A phrase that occurs ``least``
-   times has parts that do, so that a longer phrase is counted only where both of its parts
-   one word shorter may be frequent. What is frequent goes to the tasks as a bitmap of
+   times has parts that do, so that a longer phrase is counted only where its words and both of
+   its parts one word shorter may be frequent. What is frequent goes to the tasks as a bitmap of
    ``FILTER`` bits, whatever the corpus: a bit set by chance costs a count, never a result.
 3. Candidates meet the counts of their parts by joins. The score of a cut into ``l`` and ``r`` is
    ``floor(1000000 * a * a / (l * r))`` in whole decimals; the lowest counts.
@@ -39,12 +39,12 @@ from txnlens.llm.rolling import mix64
 
 LEAST, LONGEST, TOP = 10, WORDS, 2000
 SCALE = 1_000_000
-#: Entries of a task's trie, entries of a container, words a task numbers before it starts anew.
+#: Entries of a task's trie, entries of a container, words a task knows before it starts anew.
 ENTRIES, BURST, VOCABULARY = 1 << 20, 1 << 14, 1 << 19
 #: Bits of the bitmap of what may be frequent.
 FILTER = 1 << 26
 #: Bytes of text taken in one go.
-PASS = 1 << 20
+PASS = 4 << 20
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -53,7 +53,6 @@ _SEPARATOR[[0x20, 0x09]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RUN = "lang string, phrase string, n long"
-_ONE = np.uint64(1)
 
 
 def _slices(data: np.ndarray, offsets: np.ndarray, words: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -89,32 +88,34 @@ def _slices(data: np.ndarray, offsets: np.ndarray, words: int, limit: int) -> It
 
 
 class _Counter:
-    """A task's words, their numbers and hashes, and its trie of phrases of ``words`` words."""
+    """A task's words, their numbers and hashes, and its trie of phrases of ``words`` words.
 
-    def __init__(self, words: int, entries: int, burst: int, frequent: np.ndarray | None):
-        self.words, self.entries, self.burst, self.frequent = words, entries, burst, frequent
+    ``filters`` are the bitmaps of frequent words, pairs, ... below ``words``; a word that is not frequent has number 0.
+    """
+
+    def __init__(self, words: int, entries: int, burst: int, filters: list[np.ndarray]):
+        self.words, self.entries, self.burst, self.filters = words, entries, burst, filters
         self._restart()
 
     def _restart(self) -> None:
         self.numbers: dict[str, dict[bytes, int]] = {}
         self.names, self.langs = [b""], [""]
-        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.hashes = np.zeros(1, np.uint64)
         self.trie = Node(0, self.burst)
 
     def _number(self, lang: str, names: list[bytes]) -> np.ndarray:
         known = self.numbers.setdefault(lang, {})
-        out = np.empty(len(names), np.int64)
-        for k, name in enumerate(names):
-            number = known.get(name)
-            if number is None:
-                number = known[name] = len(self.names)
-                if number == len(self.hashes):
-                    self.hashes = np.append(self.hashes, np.zeros(number, np.uint64))
-                self.hashes[number] = word_hash(lang, name)
-                self.names.append(name)
-                self.langs.append(lang)
-            out[k] = number
-        return out
+        fresh = [x for x in names if x not in known]
+        if fresh and self.filters:
+            hashes = word_hashes(lang, fresh)
+            may = held_bits(self.filters[0], hashes)
+            known.update(dict.fromkeys(fresh, 0))
+            fresh = [fresh[k] for k in np.flatnonzero(may).tolist()]
+            self.hashes = np.append(self.hashes, hashes[may])
+        known.update(zip(fresh, range(len(self.names), len(self.names) + len(fresh)), strict=True))
+        self.names += fresh
+        self.langs += [lang] * len(fresh)
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
 
     def add(self, lang: str, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Counts some texts; yields the runs that had to go first."""
@@ -127,7 +128,7 @@ class _Counter:
         inside = ~_SEPARATOR[data]
         column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]).dictionary_encode()
         names = column.dictionary.to_pylist()
-        if len(self.names) + len(names) > VOCABULARY and len(self.names) > 1:
+        if sum(map(len, self.numbers.values())) + len(names) > VOCABULARY and self.numbers:
             yield from self.rest()
         own = self._number(lang, names)[column.indices.to_numpy()]
         if self.words > 1:
@@ -136,8 +137,13 @@ class _Counter:
             at = np.flatnonzero(follows if self.words == 2 else follows & np.append(follows[1:], False))
         else:
             at = np.arange(len(own))
-        if self.frequent is not None and len(at):
-            at = at[self._may(own, at)]
+        if self.filters:
+            may = own > 0
+            if self.words > 2:  # both pairs
+                may = may & np.append(held_bits(self.filters[1], phrase_hash([self.hashes[own[:-1]], self.hashes[own[1:]]])), False)
+                at = at[may[at] & may[at + 1] & (own[at + 2] > 0)]
+            else:
+                at = at[may[at] & may[at + 1]]
         keys = np.zeros(len(at), np.int64)
         for k in range(self.words):
             keys |= own[at + k] << BITS * (WORDS - 1 - k)
@@ -146,14 +152,6 @@ class _Counter:
             yield from self._runs(self.trie.spill(max(0, self.entries // 2 - len(keys))))
         self.trie.add(keys, counts)
 
-    def _may(self, own: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether both parts one word shorter may be frequent."""
-        if self.words == 2:
-            may = held_bits(self.frequent, self.hashes[: len(self.names)])[own]
-            return may[at] & may[at + 1]
-        pair = held_bits(self.frequent, phrase_hash([self.hashes[own[:-1]], self.hashes[own[1:]]]))
-        return pair[at] & pair[at + 1]
-
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self._runs(self.trie.spill(0))
         self._restart()
@@ -170,8 +168,9 @@ class _Counter:
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(numbers[0])).cast(pa.string()), phrase.cast(pa.string()), pa.array(counts[a : a + (1 << 16)])], names=["lang", "phrase", "n"])
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\0" + word)
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed, digest = xxhash.xxh32_intdigest(lang.encode()), xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
 
 
 def phrase_hash(hashes: list[np.ndarray]) -> np.ndarray:
@@ -187,9 +186,9 @@ def held_bits(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _count(batches: Iterator[pa.RecordBatch], words: int, entries: int, burst: int, limit: int, frequent) -> Iterator[pa.RecordBatch]:
-    counter = _Counter(words, entries, burst, frequent and np.frombuffer(frequent.value, np.uint8))
-    for batch in common.sliced(batches):
+def _count(batches: Iterator[pa.RecordBatch], words: int, entries: int, burst: int, limit: int, frequent: list) -> Iterator[pa.RecordBatch]:
+    counter = _Counter(words, entries, burst, [np.frombuffer(x.value, np.uint8) for x in frequent])
+    for batch in batches:
         for lang in pc.unique(batch.column("lang")).to_pylist():
             data, offsets = common.utf8(batch.filter(pc.equal(batch.column("lang"), lang)).column("text"))
             for part, bounds in _slices(data, offsets, words, limit):
@@ -197,8 +196,8 @@ def _count(batches: Iterator[pa.RecordBatch], words: int, entries: int, burst: i
     yield from counter.rest()
 
 
-def phrase_counts(texts: DataFrame, words: int, frequent=None, entries: int = ENTRIES, burst: int = BURST, limit: int = PASS) -> DataFrame:
-    """``lang, phrase, n`` of all phrases of ``words`` words in ``texts`` (``lang, text``) that ``frequent`` lets through."""
+def phrase_counts(texts: DataFrame, words: int, frequent: list, entries: int = ENTRIES, burst: int = BURST, limit: int = PASS) -> DataFrame:
+    """``lang, phrase, n`` of all phrases of ``words`` words in ``texts`` (``lang, text``) that the broadcast bitmaps ``frequent`` let through."""
     if not 1 <= words <= WORDS:
         raise ValueError(f"words must lie in 1..{WORDS}")
     runs = texts.select("lang", "text").mapInArrow(lambda x: _count(x, words, entries, burst, limit, frequent), _RUN)
@@ -208,11 +207,10 @@ def phrase_counts(texts: DataFrame, words: int, frequent=None, entries: int = EN
 
 def _bits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)
-        split = [[word_hash(lang, w) for w in phrase.encode().split(b" ")] for lang, phrase in rows]
-        if split:
-            hashes = mix64(phrase_hash(list(np.array(split, dtype=np.uint64).T.copy()))) & np.uint64(size - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).astype(np.int64))], names=["bit"])
+        for lang in pc.unique(batch.column("lang")).to_pylist():
+            phrases = [x.encode().split(b" ") for x in batch.filter(pc.equal(batch.column("lang"), lang)).column("phrase").to_pylist()]
+            hashes = phrase_hash([word_hashes(lang, list(words)) for words in zip(*phrases, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(mix64(hashes) & np.uint64(size - 1)).astype(np.int64))], names=["bit"])
 
 
 def frequent_bits(phrases: DataFrame, size: int = FILTER) -> bytes:
@@ -229,14 +227,15 @@ def frequent_bits(phrases: DataFrame, size: int = FILTER) -> bytes:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, entries: int = ENTRIES, burst: int = BURST, limit: int = PASS, filter_bits: int = FILTER) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the best phrases of two and three words of ``docs`` (``lang, text``)."""
+    common.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = common.keep(phrase_counts(texts, 1, None, entries, burst, limit), "words")
+    words = common.keep(phrase_counts(texts, 1, [], entries, burst, limit), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    held = [words.where(F.col("n") >= least)]
+    held, frequent = [words.where(F.col("n") >= least)], []
     for size in range(2, LONGEST + 1):
-        bitmap = spark.sparkContext.broadcast(frequent_bits(held[-1], filter_bits))
-        held.append(common.keep(phrase_counts(texts, size, bitmap, entries, burst, limit).where(F.col("n") >= least), f"phrases-{size}"))
+        frequent.append(spark.sparkContext.broadcast(frequent_bits(held[-1], filter_bits)))
+        held.append(common.keep(phrase_counts(texts, size, frequent, entries, burst, limit).where(F.col("n") >= least), f"phrases-{size}"))
         common.release(spark)
 
     def part(size: int, name: str, phrase) -> DataFrame:
