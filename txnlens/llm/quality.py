@@ -9,7 +9,10 @@ between pools the calibration is linear.
 
 Labels (0 or 1; several for one id are averaged) are learned only from rows whose CRC-32
 of the id, as text, is not ``RESERVED`` modulo ``FOLDS``; remainder ``CALIBRATION`` calibrates and
-the others fit. Ids, labels, languages and sources are never inputs of a score.
+the others fit. Of the labelled ids at most ``SAMPLE``, the first by a hash of the id, take part; they are
+broadcast, so that only labelled texts are read for the fit and none is shuffled. Each text is
+scored where it lies, in one step with its statistics. Ids, labels, languages and sources are
+never inputs of a score.
 
 Results for odd input: null and empty texts have the statistics of an empty text and are
 scored like any other; labels that are null or have no document are ignored; without
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from txnlens.llm import common
 
 FOLDS, RESERVED, CALIBRATION = 5, 0, 1
+#: Labelled ids that the classifier learns from at most.
+SAMPLE = 50_000
 THRESHOLD = 0.3
 FEATURES = 160
 #: Standard deviations of the statistics that the kernel takes for near.
@@ -63,13 +68,19 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The statistics of a batch's texts, one row each."""
+    data, offsets = common.utf8(batch.column("text"))
+    view = memoryview(data)
+    return np.array([statistics(bytes(view[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.float64).reshape(-1, STATISTICS)
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts become their statistics; other columns stay."""
     for batch in common.sliced(batches):
-        data, offsets = common.utf8(batch.column("text"))
-        view = memoryview(data)
-        rows = np.array([statistics(bytes(view[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.float64).reshape(-1)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(rows), STATISTICS).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(batch.schema) - 1)), lists], names=[*batch.schema.names[:-1], "stats"])
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(_matrix(batch).reshape(-1)), STATISTICS).cast(pa.list_(pa.float64()))
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "stats"])
 
 
 def _projection() -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +94,7 @@ def _features(stats: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.nda
     return np.hstack([np.ones((len(x), 1)), np.sqrt(2 / FEATURES) * np.cos(x @ w + b)])
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+def _held(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("stats").flatten()).reshape(len(batch), STATISTICS)
 
 
@@ -91,7 +102,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, STATISTICS))
     n = 0
     for batch in batches:
-        x = _matrix(batch)
+        x = _held(batch)
         total += [x.sum(0), (x * x).sum(0)]
         n += len(x)
     if n:
@@ -108,7 +119,7 @@ def _normal(batches: Iterator[pa.RecordBatch], mean: np.ndarray, spread: np.ndar
     gram, right = np.zeros((size, size)), np.zeros(size)
     n = 0
     for batch in batches:
-        z, y = _features(_matrix(batch), mean, spread), batch.column("y").to_numpy()
+        z, y = _features(_held(batch), mean, spread), batch.column("y").to_numpy()
         gram += z.T @ z
         right += z.T @ y
         n += len(y)
@@ -125,7 +136,7 @@ def _summed(cells: DataFrame) -> np.ndarray:
 def _raw(batches: Iterator[pa.RecordBatch], model: tuple) -> Iterator[pa.RecordBatch]:
     mean, spread, weights = model
     for batch in batches:
-        s = _features(_matrix(batch), mean, spread) @ weights
+        s = _features(_held(batch), mean, spread) @ weights
         yield pa.RecordBatch.from_arrays([pa.array(np.floor((np.clip(s, -1, 2) + 1) / 3 * (BINS - 1)).astype(np.int64)), pa.array(s), batch.column("y")], names=["bin", "s", "y"])
 
 
@@ -140,11 +151,14 @@ def pool(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.array([h[0] / h[2] for h in held]), np.array([h[1] / h[2] for h in held])
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> tuple | None:
-    """``mean, spread, weights, knots, values`` from ``stats`` (``doc_id, stats``) and ``labels`` (``doc_id, quality``); None without labels."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple | None:
+    """``mean, spread, weights, knots, values`` from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, quality``); None without labels."""
+    common.bound_batches(docs.sparkSession)
     votes = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    votes = votes.where(~common.held_out(FOLDS, RESERVED))
-    learn = common.keep(stats.select("doc_id", "stats").join(votes, "doc_id").select("stats", "y", common.held_out(FOLDS, CALIBRATION).alias("calibrates")), "labelled")
+    votes = common.keep(votes.where(~common.held_out(FOLDS, RESERVED)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "votes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    learn = texts.join(F.broadcast(votes), "doc_id").select("text", "y", common.held_out(FOLDS, CALIBRATION).alias("calibrates"))
+    learn = common.keep(learn.mapInArrow(_statistics, "y double, calibrates boolean, stats array<double>"), "labelled")
     for_fit = learn.where("not calibrates")
     if for_fit.isEmpty():
         for_fit = learn
@@ -174,42 +188,32 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple | None:
     return mean, spread, weights, knots, values
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: tuple | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _score(batches: Iterator[pa.RecordBatch], model: tuple | None, accept: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of ``row`` and ``text`` become ``row`` and ``score``, or only those that are accepted, with all they had."""
+    for batch in common.sliced(batches):
         if model is None:
             score = np.full(len(batch), 0.5)
         else:
             mean, spread, weights, knots, values = model
             score = np.clip(np.interp(_features(_matrix(batch), mean, spread) @ weights, knots, values), 0.0, 1.0)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
-
-
-def _with_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
-    rows = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_statistics, f"row {rows.schema['row'].dataType.simpleString()}, stats array<double>")
-
-
-def _scored(stats: DataFrame, model: tuple | None) -> DataFrame:
-    """``row``, ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on)."""
-    scored = stats.mapInArrow(lambda x: _score(x, model), f"row {stats.schema['row'].dataType.simpleString()}, score double")
-    return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
-
-
-def _named(stats: DataFrame) -> DataFrame:
-    return stats.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stats")
+        if accept:
+            yield batch.filter(pa.array(score >= THRESHOLD))
+        else:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
-    stats = common.keep(_with_statistics(docs, ["doc_id"]), "statistics")
-    found = _scored(stats, fit(_named(stats), labels)).select(F.col("row.doc_id").cast("long").alias("doc_id"), "score", "predicted")
-    return found.select("doc_id", common.held_out(FOLDS, RESERVED).alias("held_out"), "score", "predicted")
+    """``doc_id, held_out, score, predicted`` for each row of ``docs``; ``predicted`` is 1 from ``THRESHOLD`` on."""
+    model = fit(docs, labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.mapInArrow(lambda x: _score(x, model, False), "row long, score double").withColumnRenamed("row", "doc_id")
+    return found.select("doc_id", common.held_out(FOLDS, RESERVED).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, as they are: no row is shuffled for it."""
-    model = fit(_named(_with_statistics(docs, ["doc_id"])), labels)
-    return _scored(_with_statistics(docs, docs.columns), model).where("predicted = 1").select("row.*")
+    """The rows of ``docs`` that are predicted 1, as they are: no row is shuffled for it, and a text is sent once."""
+    model = fit(docs, labels)
+    return docs.mapInArrow(lambda x: _score(x, model, True), docs.schema)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
