@@ -7,8 +7,9 @@ lowest rank (leftmost first). Special tokens are not known.
 
 The hash, the tokens and the pair ranks are built once on the driver from the rank file,
 whose path is a parameter, and broadcast: they are bounded by the vocabulary (at most
-``VOCABULARY`` tokens). Tasks are independent of each other; each remembers up to ``REMEMBERED``
-matches, and forgets them at its end.
+``VOCABULARY`` tokens). Tasks are independent of each other. A Python worker remembers what
+matches of up to ``SHORT`` characters encode to, also from one task to the next, within ``REMEMBERED`` bytes:
+beyond it the half that was not asked for lately goes.
 
 Results for odd input: null and empty texts have no ids and decode to nothing; repeated
 rows and null ids are kept as they are; an empty table gives an empty result; other
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from txnlens.llm import common
 
 VOCABULARY = 1 << 20
-REMEMBERED = 400_000
+#: Bytes of remembered matches in a worker, about, and characters of the longest match kept.
+REMEMBERED, SHORT = 48 << 20, 64
 #: Texts beyond this many characters are matched piece by piece.
 LONG = 1 << 20
 
@@ -96,6 +98,7 @@ class PerfectHash:
 class Encoder:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, pattern
+        self.name = xxhash.xxh3_128_hexdigest(b"\n".join(map(base64.b64encode, tokens)) + pattern.encode())
         self.hash = PerfectHash(tokens)
         number = {t: k for k, t in enumerate(tokens)}
         self.byte = [number.get(bytes([b]), -1) for b in range(256)]
@@ -112,54 +115,69 @@ class Encoder:
         return [k] if self.tokens[k] == match else self._merge(match)
 
     def _merge(self, match: bytes) -> list[int]:
-        pairs, base = self.pairs, self.base
-        ids = [self.byte[b] for b in match]
+        rank_of, base = self.pairs.get, self.base
+        ids = [*map(self.byte.__getitem__, match)]
         n = len(ids)
         shift = n.bit_length()
         mask = (1 << shift) - 1
-        heap = []
-        for i in range(n - 1):
-            rank = pairs.get(ids[i] * base + ids[i + 1])
-            if rank is not None:
-                heap.append(rank << shift | i)
+        heap = [rank << shift | i for i, pair in enumerate(zip(ids, ids[1:])) if (rank := rank_of(pair[0] * base + pair[1])) is not None]
         heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while heap:
             entry = heappop(heap)
             i, rank = entry & mask, entry >> shift
-            left = ids[i]
-            j = after[i]
-            if left < 0 or j >= n or pairs.get(left * base + ids[j]) != rank:
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n or rank_of(left * base + ids[j]) != rank:
                 continue  # one side has been merged meanwhile
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = pairs.get(rank * base + ids[k])
-                if found is not None:
+                if (found := rank_of(rank * base + ids[k])) is not None:
                     heappush(heap, found << shift | i)
             p = before[i]
-            if p >= 0:
-                found = pairs.get(ids[p] * base + rank)
-                if found is not None:
-                    heappush(heap, found << shift | p)
+            if p >= 0 and (found := rank_of(ids[p] * base + rank)) is not None:
+                heappush(heap, found << shift | p)
         return [x for x in ids if x >= 0]
 
 
 class _Remembered(dict):
-    """Matches as the little-endian ids they encode to."""
+    """Matches as the little-endian ids they encode to: a young half, and an old one that moves up when asked for."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, encoder: Encoder, limit: int = REMEMBERED):
+        self.encoder, self.limit, self.old, self.size = encoder, limit, {}, 0
 
     def __missing__(self, match: str) -> bytes:
-        found = self[match] = np.array(self.encoder.encode_match(match.encode()), dtype="<u4").tobytes()
+        found = self.old.get(match)
+        if found is None:
+            found = np.array(self.encoder.encode_match(match.encode()), dtype="<u4").tobytes()
+            if len(match) > SHORT:
+                return found
+        self.size += 200 + 4 * len(match) + len(found)  # about what Python takes for the two and their place
+        if 2 * self.size > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.size = 200 + 4 * len(match) + len(found)
+        self[match] = found
         return found
 
 
+#: What this Python worker remembers, for the encoder it was asked for last.
+_WORKER: dict[str, _Remembered] = {}
+
+
+def _memory(encoder: Encoder) -> _Remembered:
+    known = _WORKER.get(encoder.name)
+    if known is None:
+        _WORKER.clear()
+        known = _WORKER[encoder.name] = _Remembered(encoder)
+    known.encoder = encoder  # an equal one: lets go of an earlier broadcast
+    return known
+
+
 def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     encoder = shared.value
-    known = _Remembered(encoder)
+    known = _memory(encoder)
     matcher, get, tokens = regex.compile(encoder.pattern), known.__getitem__, encoder.tokens.__getitem__
     for part in common.sliced(batches):
         ids, decoded, rows = [], [], part.column("text")
@@ -171,17 +189,14 @@ def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
                 found, pieces = (m[0] for m in matcher.finditer(text)), []
                 while block := list(islice(found, LONG)):
                     pieces.append(b"".join(map(get, block)))
-                    if len(known) > REMEMBERED:
-                        known.clear()
                 ids.append(b"".join(pieces))
             decoded.append(b"".join(map(tokens, np.frombuffer(ids[-1], "<u4").tolist())))
-        if len(known) > REMEMBERED:
-            known.clear()
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids, decoded`` for each row: ids as little-endian unsigned 32-bit integers, and the bytes they stand for."""
+    common.bound_batches(docs.sparkSession)
     encoder = docs.sparkSession.sparkContext.broadcast(Encoder(load_ranks(path), pattern))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda x: _encode(x, encoder), "doc_id long, ids binary, decoded binary")
