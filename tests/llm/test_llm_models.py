@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, extraction by fixed pages, vectors and the pipeline by brute force."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -104,6 +105,26 @@ def test_html_small_marked_part_is_not_all():
     assert html_extract.extract(marked) == f"A title {LEAD.strip()}"
 
 
+def unmarked(page, wrapped):
+    """The page without a name or tag that tells its parts; ``wrapped``: its article is still an element of its own."""
+    page = re.sub(r"<(/?)(nav|footer)>", r"<\1div>", page).replace('class="ad"', 'class="x"')
+    return re.sub(r"<(/?)article>", r"<\1div>" if wrapped else "", page)
+
+
+@pytest.mark.parametrize("wrapped", [True, False])
+def test_html_by_ratios_alone(spark, monkeypatch, wrapped):
+    pages = [r.html for r in spark.read.parquet(f"{MID}/pages.parquet").select("html").collect()]
+    article = [html_extract.extract(re.sub(r"(?s)^.*<article>(.*)</article>.*$", r"<article>\1</article>", p)) for p in pages]
+    assert [html_extract.extract(p) for p in pages] == article
+
+    def share():
+        return np.mean([html_extract.extract(unmarked(p, wrapped)) == a for p, a in zip(pages, article, strict=True)])
+
+    assert share() >= 0.95
+    monkeypatch.setattr(html_extract, "scores", lambda blocks, furniture: dict.fromkeys((x.path for x in blocks), 1.0))  # no ratios
+    assert share() < 0.8
+
+
 @pytest.mark.parametrize("crowd", [1024, 10])
 def test_embeddings(spark, crowd):
     rng = np.random.default_rng(1)
