@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from txnlens.llm import bpe, decontaminate, sharding, simhash, substring_dedup, suffix_dedup
+from txnlens.llm import bpe, common, decontaminate, rolling, sharding, simhash, substring_dedup, suffix_dedup
 from txnlens.llm.suffixes import suffix_array
 
 WORDS = ["ab", "cé", "d", "xyzzy", "q", "The", "tHe", "ñandú"]
@@ -115,6 +115,53 @@ def test_substring_dedup(docs, rows):
     assert sum(x[2] for x in want) > 0
 
 
+def patterned(n):
+    """Two texts that sums of bytes times powers of an odd base, modulo 2**64, cannot tell apart at some length."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_patterned_texts_are_told_apart(spark):
+    one, two = patterned(1024)
+    rest = " ".join(f"w{k}" for k in range(49))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 50}
+    one, two = patterned(4096)
+    for size in (400, 4096):
+        rows = [(1, one[:size]), (2, two[:size])]
+        want = list(brute_bytes(rows, 400))
+        for hot in (4096, 0):
+            found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], hot=hot)
+            same([(r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()], want)
+        assert size > 400 or not any(x[2] for x in want)
+
+
+def test_word_hashes():
+    words = [b"", b"a", b"a\0", b"\0", b"\0\0", b"12345678", b"12345678\0", b"x" * 256, b"x" * 257, b"y" + b"x" * 256, *(x.encode() for n in (16, 64, 256, 1024) for x in patterned(n))]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    hashes = rolling.word_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(words)
+    shifted = rolling.word_hashes(np.append(np.frombuffer(b"zzz", np.uint8), data), starts + 3, ends + 3)
+    assert (shifted == hashes).all()
+
+
+def test_a_third_of_all_rows_is_one_row(spark, rows):
+    """Repeated rows share one set of marks, and give their text to a join once."""
+    text = rows[11][1] + " " + rows[12][1]
+    many = [*rows[10:40], *[(7, text)] * 400]
+    docs = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.suffix_dedup(docs, ["doc_id"], width=48, gram=16)
+    same([(r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()], list(brute_bytes(many, 48)))
+    marks = common.keyed(docs)
+    assert common.once(marks).where("did = 7").count() == 1
+    shards = sharding.shard(docs, 10)
+    sizes = [r["sum(size)"] for r in shards.groupBy("shard").sum("size").collect()]
+    assert max(sizes) - min(sizes) <= 2 * max(len(t.encode()) + 16 for _, t in many)
+    assert all(sorted(r.slots) == list(range(len(r.slots))) for r in shards.groupBy("shard").agg(F.collect_list("slot").alias("slots")).collect())
+
+
 def brute_fingerprint(text):
     words = re.findall(SEP, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]

@@ -9,6 +9,7 @@ interchangeable.
 from __future__ import annotations
 
 import gc
+import re
 import time
 from collections.abc import Iterator
 
@@ -23,6 +24,18 @@ from txnlens.sources.sinks import shared_dir
 NO_ID = -(1 << 63)
 
 
+#: Bytes of an Arrow batch: what a Python worker holds of its input at a time, but for one longer row.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Spark cut the batches it sends to Python at ``BATCH_BYTES``; a smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(\d+)([kmgt]?)", spark.conf.get(name).lower()).groups()
+    if int(number) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[unit] > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the cluster's shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -50,6 +63,11 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(_did(doc_id).alias("did"), _checksum(body).alias("crc"), body.alias("text"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """One of all rows that are equal in ``did`` and ``crc``, as ``did, crc, text``."""
+    return rows.groupBy("did", "crc").agg(F.first("text").alias("text"))
+
+
 def _did(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 

@@ -40,8 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm import common
-from txnlens.llm.rolling import BYTE_VALUES, Rolling
-from txnlens.llm.substring_dedup import word_hashes
+from txnlens.llm.rolling import Rolling, word_hashes
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -257,6 +256,7 @@ _FOUND = "did long, crc binary, item_id long, first_word long, score double, que
 
 def matches(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``did, crc, item_id, first_word, score, question_overlap, answer_overlap``: the best passage for each item that a row of ``docs`` (``did, crc, text``) holds."""
+    common.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

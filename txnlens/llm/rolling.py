@@ -3,11 +3,16 @@
 The hash of window ``i`` of width ``w`` is ``mix(sum v[i+j] * B**j for j < w)``: equal
 windows have equal hashes wherever they stand, and all windows of an array cost a few
 vector operations. Values must be well mixed (``mix64`` or a random table), since plain
-small integers collide in polynomials modulo 2**64.
+small integers collide in polynomials modulo 2**64. Over long stretches some patterned
+texts collide whatever the table is (the high powers of two in the sums vanish), so these
+hashes only find what may be equal; what decides is ``digests`` of whole stretches, or
+sums over no more than some ninety values.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U64 = np.uint64
@@ -71,6 +76,35 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+#: Bytes of the longest word hashed eight at a time.
+_LONG = 256
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of each stretch of bytes."""
+    view = memoryview(np.ascontiguousarray(data))
+    joined = b"".join([blake2b(view[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(joined, dtype="<u8").copy()
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of hash of each word: eight bytes after eight, mixed in between; a digest of a very long one."""
+    n = end - start
+    out = mix64((n.astype(U64) + U64(1)) * U64(BASES[0]))
+    eight = np.lib.stride_tricks.as_strided(np.append(data, np.zeros(8, np.uint8)), (len(data) + 1, 8), (1, 1))
+    live, at = np.flatnonzero(n <= _LONG), 0
+    while len(live):
+        left = n[live] - at
+        chunk = eight[start[live] + at].view("<u8").reshape(-1)
+        chunk &= U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * np.clip(left, 1, 8).astype(U64))
+        out[live] = mix64((out[live] ^ chunk) * U64(BASES[1]) + U64(at + 1))
+        live, at = live[left > 8], at + 8
+    far = np.flatnonzero(n > _LONG)
+    if len(far):
+        out[far] = digests(data, start[far], end[far])
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same bits as Spark's BIGINT."""
     return x.view(np.int64)

@@ -1,7 +1,7 @@
 """Sharding: contiguous shards of near equal bytes, cut on a global prefix sum.
 
-Documents are dealt into ranges of ``doc_id`` (ties by text checksum and size, so that rows
-without an id are split, too). Each range sums its bytes and rows; a running sum over
+Documents are numbered in a written table and dealt into ranges of ``doc_id``, ties by text
+checksum, size and number, so that rows without an id and repeated rows are split, too. Each range sums its bytes and rows; a running sum over
 the ranges, one row each, gives every range its offset, and a running sum inside the
 range every document its own. The total is cut at equal targets: a document belongs to
 the shard that its middle byte falls into, so that shards are contiguous and none is off
@@ -30,7 +30,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each row of ``docs``."""
     body = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    order = ["doc_id", "text_crc32", "size"]
+    # written: the numbers stay the same when a task runs again
+    sized = common.keep(sized.withColumn("number", F.monotonically_increasing_id()), "sizes")
+    order = ["doc_id", "text_crc32", "size", "number"]
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = common.keep(sized.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))

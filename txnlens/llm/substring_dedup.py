@@ -16,6 +16,8 @@ both onto the cover: two equal windows of ``width`` words share an aligned ancho
 3. Where an anchor stands in differing spans, the windows of the first document of each
    kind are compared by 128 bits of hash, one group a window.
 
+A word is known by 64 bits of hash, windows and spans by sums over at most 80 of these.
+
 Every grouping is a partial aggregation followed by a join, so that no task gathers the
 occurrences of a frequent anchor.
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm import common
-from txnlens.llm.rolling import BASES, BYTE_VALUES, Rolling, mix64, signed
+from txnlens.llm.rolling import BASES, Rolling, mix64, signed, word_hashes
 
 WIDTH = 50
 PERIOD = 31
@@ -47,17 +49,6 @@ _ANCHORS = "did long, crc binary, at long, first long, windows long, key long, k
 _MARKS = "did long, crc binary, first long, windows long"
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + PASS, "right")))
-        lo = start[i]
-        out[i:j] = Rolling(BYTE_VALUES[data[lo : end[j - 1]]]).spans(start[i:j] - lo, end[i:j] - lo)
-        i = j
-    return out
-
-
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Documents of a batch, about ``PASS`` bytes at a time: first and last row, word hashes, first word of each."""
     data, offsets = common.utf8(batch.column("text"))
@@ -124,7 +115,7 @@ def earlier_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     settled = judged.where("later").select("did", "crc", "first", "windows")
 
     ats = judged.where("mixed and not later").groupBy("did", "crc").agg(F.collect_set("at").alias("ats"))
-    windows = common.keep(docs.join(ats, ["did", "crc"]).select("did", "crc", "text", "ats").mapInArrow(
+    windows = common.keep(common.once(docs).join(ats, ["did", "crc"]).select("did", "crc", "text", "ats").mapInArrow(
         lambda x: _windows(x, width), "did long, crc binary, first long, one long, two long"), "windows")
     common.release(spark)
     starts = windows.groupBy("one", "two").agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").select("one", "two", "least")
@@ -155,10 +146,12 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (remaining words, joined by a space, as UTF-8) for each row of ``docs``."""
+    common.bound_batches(docs.sparkSession)
     if width < PERIOD:
         raise ValueError(f"width must be {PERIOD} or more")
     rows = common.keyed(docs)
-    marks = earlier_windows(rows, width).groupBy("did", "crc").agg(F.collect_list(F.struct("first", "windows")).alias("marks"))
+    # distinct: rows that are repeated share their marks
+    marks = earlier_windows(rows, width).distinct().groupBy("did", "crc").agg(F.collect_list(F.struct("first", "windows")).alias("marks"))
     marks = common.keep(marks, "marks")
     common.release(docs.sparkSession)
     joined = rows.join(marks, ["did", "crc"], "left").select(common.doc_id(), "text", "marks")

@@ -8,7 +8,8 @@ How the work is split. Each window of ``width`` bytes picks an anchor: the leftm
 position in it whose hash of ``gram`` bytes is smallest. Equal windows pick equal anchors
 at the same offset, so only windows with the same anchor hash need be compared. Windows
 of a document that follow each other and share an anchor form a span of at most
-``2 * width - gram`` bytes.
+``2 * width - gram`` bytes. Anchor hashes only bring spans together; spans are the same if 64 bits of a
+cryptographic digest of their bytes are, within one anchor hash.
 
 1. Anchors whose hash occurs once are settled: nothing of theirs repeats.
 2. Where all spans of an anchor hash are the same, every one of them is removed whole.
@@ -20,7 +21,8 @@ of a document that follow each other and share an anchor form a span of at most
    any window must hold are neighbours there; the few bytes left at either end of a
    window are then compared exactly.
 4. An anchor hash with more than ``hot`` kinds of spans (a passage in very many contexts)
-   does not go to one task: its windows are counted one by one, by 128 bits of hash.
+   does not go to one task: its windows are counted one by one, by a digest of 128 bits.
+   This splits the work, the results are the same.
 
 Results for odd input: null or empty texts have no bytes and lose none; texts shorter than
 ``width`` lose none; rows that are repeated (same id, same text) match each other; a null
@@ -31,6 +33,7 @@ input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm import common
-from txnlens.llm.rolling import BASES, BYTE_VALUES, Rolling, signed, sliding_min
+from txnlens.llm.rolling import BYTE_VALUES, Rolling, digests, signed, sliding_min
 from txnlens.llm.suffixes import suffix_array
 
 WIDTH = 400
@@ -62,7 +65,6 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterat
             if hi - lo < width:
                 continue
             values = BYTE_VALUES[data[lo:hi]]
-            spans = Rolling(values, BASES[1])
             hashes = Rolling(values).windows(gram)
             place = np.arange(len(hashes), dtype=np.uint64)
             picked = sliding_min((hashes & ~_PLACE) | place, width - gram + 1) & _PLACE
@@ -75,7 +77,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterat
             fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (np.diff(s) != 1)])
             at = np.flatnonzero(fresh)
             first, last, p = s[at], s[np.append(at[1:], len(s)) - 1], p[at]
-            own, key, kind = doc[first], hashes[p], spans.spans(first, last + width)
+            own, key, kind = doc[first], hashes[p], digests(data[lo:hi], first, last + width)
             # a text that repeats itself has the same span again and again, end to end: one row
             again = (own[1:] == own[:-1]) & (key[1:] == key[:-1]) & (kind[1:] == kind[:-1]) & (first[1:] == last[:-1] + 1)
             head = np.flatnonzero(np.concatenate([[True], ~again]))
@@ -179,13 +181,12 @@ def _single_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
         start, n = common.flatten(batch, "start", "n")
         data, offsets = common.utf8(batch.column("piece"))
         for i, j, lo, hi in common.passes(offsets, PASS, width - 1):
-            values = BYTE_VALUES[data[lo:hi]]
-            one, two = Rolling(values).windows(width), Rolling(values, BASES[1]).windows(width)
             doc = np.repeat(np.arange(i, j), np.diff(np.clip(offsets[i : j + 1], lo, hi) - lo))
-            s = np.flatnonzero(doc[: len(one)] == doc[width - 1 :]) if len(one) else np.zeros(0, np.int64)
-            own = doc[s]
-            yield pa.RecordBatch.from_arrays([x.take(pa.array(own)) for x in (did, crc)] + [pa.array(x) for x in (start[own] + s + lo - offsets[own], n[own], signed(one[s]), signed(two[s]))],
-                                             names=["did", "crc", "start", "n", "one", "two"])
+            s = np.flatnonzero(doc[: max(0, len(doc) - width + 1)] == doc[width - 1 :]) if len(doc) >= width else np.zeros(0, np.int64)
+            own, part = doc[s], memoryview(np.ascontiguousarray(data[lo:hi]))
+            window = [blake2b(part[k : k + width], digest_size=16).digest() for k in s.tolist()]
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(own)) for x in (did, crc)] + [pa.array(start[own] + s + lo - offsets[own]), pa.array(n[own]), pa.array(window, pa.binary())],
+                                             names=["did", "crc", "start", "n", "window"])
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -209,7 +210,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     crowd = kinds.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("crowded"))
     wanted = kinds.join(crowd, "key", "left").withColumnRenamed("start", "at")
     body = F.expr(f"substring(cast(text as binary), int(at) + 1, windows + {width - 1})")
-    pieces = docs.join(wanted, ["did", "crc"]).select("key", "did", "crc", F.col("at").alias("start"), "ahead", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), body.alias("piece"))
+    pieces = common.once(docs).join(wanted, ["did", "crc"]).select("key", "did", "crc", F.col("at").alias("start"), "ahead", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), body.alias("piece"))
     pieces = common.keep(pieces, "pieces")
     common.release(spark)
 
@@ -217,9 +218,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot:
     to_sort = pieces.where(~F.col("crowded")).drop("crowded").repartition(parts, "key").sortWithinPartitions("key")
     ordered = to_sort.mapInArrow(lambda x: _sort_spans(x, width), _MARKS)
     single = pieces.where("crowded").select("did", "crc", "start", "n", "piece").mapInArrow(
-        lambda x: _single_windows(x, width), "did long, crc binary, start long, n long, one long, two long")
-    again = common.keep(single.groupBy("one", "two").agg(F.sum("n").alias("total")).where("total > 1").select("one", "two"), "again")
-    lone = single.where("n = 1").join(again, ["one", "two"]).select("did", "crc", "start", F.lit(1).cast("long").alias("windows"))
+        lambda x: _single_windows(x, width), "did long, crc binary, start long, n long, window binary")
+    again = common.keep(single.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window"), "again")
+    lone = single.where("n = 1").join(again, "window").select("did", "crc", "start", F.lit(1).cast("long").alias("windows"))
     columns = ["did", "crc", "start", F.col("windows").cast("long").alias("windows")]
     return plain.select(*columns).unionByName(copied.select(*columns)).unionByName(ordered).unionByName(lone)
 
@@ -249,10 +250,12 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 def suffix_dedup(docs: DataFrame, carry: list[str], width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``row`` (the columns ``carry`` as a struct), ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for each row of ``docs``."""
+    common.bound_batches(docs.sparkSession)
     if not 0 < gram <= width or width < 2 * SYMBOL:
         raise ValueError("gram must lie in 1..width, and width be two symbols or more")
     marks = repeated_windows(common.keyed(docs), width, gram, hot)
-    marks = marks.groupBy(F.col("did").alias("__did"), F.col("crc").alias("__crc")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
+    # distinct: rows that are repeated share their marks
+    marks = marks.distinct().groupBy(F.col("did").alias("__did"), F.col("crc").alias("__crc")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     marks = common.keep(marks, "marks")
     common.release(docs.sparkSession)
     rows = common.addressed(docs.select(F.struct(*carry).alias("row"), "doc_id", "text"))
