@@ -1,7 +1,7 @@
 """Physical-plan checks: the rewrites keep the shapes we designed for."""
 
 from conftest import SF_SMALL
-from txnlens.operators import customers, features, transactions, velocity
+from txnlens.operators import customers, features, geography, transactions, velocity
 from txnlens.plans.catalog import fixture_stages
 
 
@@ -32,7 +32,22 @@ def test_clean_filter_pushed_to_scan(spark):
 def test_velocity_has_no_self_join_on_raw_rows(spark):
     v = fixture_stages(spark, SF_SMALL).get("validated")
     p = plan(velocity.card_velocity(v, 24))
-    assert "NestedLoop" not in p and "Cartesian" not in p
+    assert "Join" not in p and "Cartesian" not in p
+    assert p.count("Exchange ") <= 3  # the hours' sums, their neighbours, the rows
+
+
+def test_percentiles_shuffle_counts_only(spark):
+    """Every shuffle below the result carries counts: none has the rows themselves."""
+    f = fixture_stages(spark, SF_SMALL).get("features")
+    lines = [line for line in plan(geography.distance_stats(f)).splitlines() if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line]
+    assert lines and all("_b#" not in line or "_g#" in line for line in lines)
+    from txnlens.operators.percentile import exact_percentiles
+
+    p = plan(exact_percentiles(f, ["is_fraud"], "geo_distance_km", {"p50": 0.5}))
+    for k, line in enumerate(p.splitlines()):
+        if "Exchange hashpartitioning(_g" in line:
+            below = p.splitlines()[k + 1]
+            assert "HashAggregate" in below or "Union" in below or "Exchange" in below, below
 
 
 def test_amount_features_broadcast_is_checked(spark):
@@ -64,8 +79,8 @@ def test_rapid_fire_is_equi_join(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert "NestedLoop" not in p and "Cartesian" not in p
-    keys = [line for line in p.splitlines() if "SortMergeJoin [" in line]
-    assert len(keys) == 1 and all(k in keys[0] for k in ("[l_card_number", ", _jb", "[r_card_number", ", _rb")), keys
+    keys = [line for line in p.splitlines() if "SortMergeJoin [l_" in line]
+    assert len(keys) == 1 and all(k in keys[0] for k in ("l_card_number", "l__jb", "l__i", "l__j", "r_card_number", "r__jb", "r__i", "r__j")), keys
 
 
 def test_first_vs_returning_has_hash_aggregates_only(spark):

@@ -102,7 +102,7 @@ def test_s21_malformed_amount_strict_and_permissive(spark):
     with pytest.raises(Exception):
         cleaning.clean(raw).collect()
     assert cleaning.clean(raw, permissive=True).count() == 0
-    assert cleaning.rejected_rows(raw).first()[0] == 1
+    assert [tuple(r) for r in cleaning.rejected_rows(raw).collect()] == [("amt", "malformed", 1)]
 
 
 @pytest.mark.parametrize("column", ["trans_date_trans_time", "cc_num", "amt", "is_fraud"])
@@ -115,7 +115,14 @@ def test_permissive_drops_and_counts_failed_casts(spark, column):
             for t, bad in (("ok", {}), ("bad", {column: "2024-13-45 99:00:00"}), ("none", {column: None}))]
     raw = spark.createDataFrame(rows, RAW_CSV_SCHEMA)
     assert [r.transaction_id for r in cleaning.clean(raw, permissive=True).collect()] == ["ok"]
-    assert cleaning.rejected_rows(raw).first()[0] == 1
+    assert sorted(map(tuple, cleaning.rejected_rows(raw).collect())) == [(column, "malformed", 1), (column, "missing", 1)]
+    kept = {r.trans_num: r for r in cleaning.rejected(cleaning.route(raw)).collect()}
+    assert set(kept) == {"bad", "none"} and kept["bad"][column] == "2024-13-45 99:00:00" and kept["bad"].street == "x"
+    assert [tuple(x) for x in kept["bad"].reasons] == [(column, "2024-13-45 99:00:00", "malformed")]
+
+
+def test_zip_is_a_varchar_of_ten(spark):
+    assert [r.zip_code for r in cleaning.clean(raw_rows(spark, dict(zip="12345-678901"), dict(zip="123"))).orderBy("transaction_id").collect()] == ["12345-6789", "123"]
 
 
 def test_s22_no_fraud_gives_nulls_not_errors(spark):

@@ -75,6 +75,34 @@ def test_rapid_fire_hot_card(hot):
     assert got.exceptAll(brute).count() == 0
 
 
+def burst(spark, n, seconds):
+    """``n`` rows of one card within ``seconds``, on both sides of a bucket's edge."""
+    at = F.expr(f"timestamp_ntz'2024-03-05 12:00:00' - make_dt_interval(0, 0, 0, {seconds / 2}) + make_dt_interval(0, 0, 0, cast(id * {seconds} / {n} as decimal(18,6)))")
+    return spark.range(0, n, 1, 8).select(
+        F.lit(1).cast("long").alias("card_number"), F.concat(F.lit("t"), F.col("id")).alias("transaction_id"), at.alias("transaction_ts"), F.lit(2).cast("decimal(12,2)").alias("amount"),
+        F.lit("m").alias("merchant_name"), F.lit(0).alias("is_fraud"), F.lit("Ann").alias("full_name"))
+
+
+def test_rapid_fire_cuts_a_burst_into_tiles(spark):
+    """100,000 rows of one burst: no tile has many rows, and any two rows of it meet in one tile."""
+    left, right = transactions.rapid_fire_tiles(burst(spark, 100_000, 300))
+    tile = ["card_number", "_jb", "_i", "_j"]
+    a, b = (x.groupBy(*tile).count() for x in (left, right))
+    both = a.join(b.withColumnRenamed("count", "other"), tile)
+    largest = both.agg(F.max("count"), F.max("other"), F.sum(F.col("count") * F.col("other")), F.count("*")).first()
+    assert max(largest[0], largest[1]) < 1.1 * transactions.TILE_ROWS and largest[3] > 400
+    # two buckets of 50,000: each row against its own bucket, the first bucket against the second
+    assert largest[2] == 3 * 50_000**2
+
+
+def test_rapid_fire_tiles_give_every_pair_once(spark):
+    f = burst(spark, 600, 700)
+    want = sorted((f"t{i}", f"t{j}") for i in range(600) for j in range(i + 1, 600) if (j - i) * 700 * 1000 // 600 <= 300_000 and (j - i) * 700 / 600 <= 300)
+    for tile_rows in (10_000, 50, 7):
+        got = sorted((r.txn_1_id, r.txn_2_id) for r in transactions.rapid_fire(f, tile_rows=tile_rows).select("txn_1_id", "txn_2_id").collect())
+        assert got == want
+
+
 def test_first_vs_returning_hot_card(hot):
     _, f = hot
     first = f.groupBy("card_number").agg(F.min("transaction_ts").alias("first_ts"))

@@ -148,6 +148,21 @@ def test_cli_permissive_drops_and_counts(spark, capsys):
         fh.write(CSV_TEXT)
     main(["--input", f"{d}/raw.csv", "--out", f"{d}/out", "--reports", "clean_transactions,fraud_summary", "--permissive"])
     paths = json.loads(capsys.readouterr().out)
-    assert spark.read.parquet(paths["rejected_rows"]).first()[0] == 1
+    rejected = spark.read.parquet(paths["rejected_rows"]).collect()
+    assert [(r.trans_num, r.amt, [tuple(x) for x in r.reasons]) for r in rejected] == [("t2", "abc", [("amt", "abc", "malformed")])]
     assert sorted(r.transaction_id for r in spark.read.parquet(paths["clean_transactions"]).collect()) == ["t0", "t1"]
     assert spark.read.parquet(paths["fraud_summary"]).first().total_transactions == 2
+
+
+def test_permissive_run_routes_every_row_in_one_scan(spark):
+    from txnlens.plans.batch import MaterializedStages
+    from txnlens.sources.fixture import raw_transactions
+
+    raw = raw_transactions(spark, SF_SMALL)
+    plan = cleaning.route(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    stages = MaterializedStages(spark, raw, out_dir=_fresh(), defer_features=True, permissive=True)
+    clean, rejected = stages.get("clean"), stages.rejected
+    assert clean.count() + rejected.count() == raw.count() and rejected.count() > 0
+    assert clean.exceptAll(cleaning.clean(raw)).count() == 0 and clean.count() == cleaning.clean(raw).count()
+    assert {x.reason for r in rejected.collect() for x in r.reasons} == {"missing"}

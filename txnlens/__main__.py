@@ -27,7 +27,7 @@ def main(argv=None) -> None:
     ap.add_argument("--partition-by-month", action="store_true", help="partition the feature table by month")
     ap.add_argument("--concurrency", type=int, default=4, help="reports written concurrently (default 4)")
     ap.add_argument("--permissive", action="store_true",
-                    help="drop and count rows with malformed critical fields (default: such a row fails the run)")
+                    help="send rows with missing or malformed critical fields to the table rejected_rows, with the reasons (default: a malformed one fails the run)")
     args = ap.parse_args(argv)
 
     spark = build_session()

@@ -23,8 +23,13 @@ def _caster(permissive: bool):
     return cast
 
 
+#: The zip is a VARCHAR(10): longer text is cut.
+ZIP_LENGTH = 10
 #: Staging columns of the critical fields that are cast.
 CRITICAL = ("transaction_ts", "card_number", "amount", "is_fraud")
+#: Raw cell of each critical field -> the staging column made of it.
+CRITICAL_CELLS = {"trans_num": "transaction_id", "cc_num": "card_number", "trans_date_trans_time": "transaction_ts", "amt": "amount", "is_fraud": "is_fraud"}
+MISSING, MALFORMED = "missing", "malformed"
 
 
 def clean(raw: DataFrame, permissive: bool = False) -> DataFrame:
@@ -32,22 +37,19 @@ def clean(raw: DataFrame, permissive: bool = False) -> DataFrame:
 
     ``permissive=False`` (default) casts strictly: malformed text fails the job
     under ANSI mode instead of silently becoming NULL.  ``permissive=True`` uses
-    ``try_cast`` and drops rows whose critical casts fail; :func:`rejected_rows`
-    counts them.  The NULL filter is applied on raw columns first, so for
+    ``try_cast`` and drops rows whose critical casts fail; :func:`route` keeps them,
+    with the reason.  The NULL filter is applied on raw columns first, so for
     Parquet it is pushed into the scan.
     """
-    staged = _staged(raw, permissive)
+    kept = raw.filter(F.expr(" and ".join(f"{c} is not null" for c in CRITICAL_CELLS)))
+    staged = kept.select(*_staged(permissive))
     return staged.dropna(how="any", subset=list(CRITICAL)) if permissive else staged
 
 
-def _staged(raw: DataFrame, permissive: bool) -> DataFrame:
+def _staged(permissive: bool) -> list[Column]:
     cast = _caster(permissive)
     ts = cast("trans_date_trans_time", "timestamp_ntz")
-    kept = raw.filter(
-        F.col("trans_num").isNotNull() & F.col("cc_num").isNotNull()
-        & F.col("trans_date_trans_time").isNotNull() & F.col("amt").isNotNull()
-        & F.col("is_fraud").isNotNull())
-    return kept.select(
+    return [
         F.col("trans_num").cast("string").alias("transaction_id"),
         cast("cc_num", "bigint").alias("card_number"),
         ts.alias("transaction_ts"),
@@ -65,7 +67,7 @@ def _staged(raw: DataFrame, permissive: bool) -> DataFrame:
         F.col("street"),
         F.col("city"),
         F.upper("state").alias("state"),
-        F.col("zip").cast("string").alias("zip_code"),
+        F.substring(F.col("zip").cast("string"), 1, ZIP_LENGTH).alias("zip_code"),
         cast("lat", "decimal(9,6)").alias("customer_lat"),
         cast("long", "decimal(9,6)").alias("customer_long"),
         cast("merch_lat", "decimal(9,6)").alias("merchant_lat"),
@@ -74,15 +76,35 @@ def _staged(raw: DataFrame, permissive: bool) -> DataFrame:
         F.col("job"),
         cast("unix_time", "bigint").alias("unix_time"),
         cast("is_fraud", "smallint").alias("is_fraud"),
-    )
+    ]
+
+
+def route(raw: DataFrame) -> DataFrame:
+    """Every raw row, staged, with what is wrong with it: one projection for the clean and the rejected rows.
+
+    ``reasons`` lists the critical cells that are missing or malformed, as (``cell``, ``text``,
+    ``reason``); it is empty for a clean row.  ``raw`` holds a rejected row as it came.
+    """
+    routed = raw.select(*_staged(permissive=True), F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias("raw"))
+
+    def reason(cell: str, column: str) -> Column:
+        text = F.col("raw")[cell].cast("string")
+        found = F.struct(F.lit(cell).alias("cell"), text.alias("text"), F.when(text.isNull(), MISSING).otherwise(MALFORMED).alias("reason"))
+        return F.when(F.col(column).isNull(), found)
+
+    reasons = F.array_compact(F.array(*[reason(cell, column) for cell, column in CRITICAL_CELLS.items()]))
+    return routed.withColumn("reasons", reasons).withColumn("raw", F.when(F.size("reasons") > 0, F.col("raw")))
+
+
+def rejected(routed: DataFrame) -> DataFrame:
+    """The rejected rows of a routed table: ``reasons`` and the raw cells."""
+    return routed.where(F.size("reasons") > 0).select("reasons", "raw.*")
 
 
 def rejected_rows(raw: DataFrame) -> DataFrame:
-    """Rows whose critical fields are present but fail a permissive cast (CSV input)."""
-    failed = F.lit(False)
-    for c in CRITICAL:
-        failed = failed | F.col(c).isNull()
-    return _staged(raw, permissive=True).filter(failed).agg(F.count(F.lit(1)).alias("rejected_rows"))
+    """How many rows a permissive clean drops, by cell and reason (a row counts under each of its reasons)."""
+    reasons = rejected(route(raw)).select(F.explode("reasons").alias("r"))
+    return reasons.groupBy(F.col("r.cell").alias("cell"), F.col("r.reason").alias("reason")).agg(F.count(F.lit(1)).alias("rejected_rows"))
 
 
 def _in_range(c: str, bounds) -> Column:

@@ -92,22 +92,24 @@ def category_stats(v: DataFrame) -> DataFrame:
     return v.groupBy("category").agg(F.avg("amount").alias("_cat_avg"), F.stddev_samp("amount").alias("_cat_std"))
 
 
+def row_features(v: DataFrame) -> DataFrame:
+    """Validated rows with a category and all features that a row has by itself (all but the z-score)."""
+    rows = v.where(F.col("category").isNotNull()).select(
+        "*", _age().alias("customer_age"), _dow().alias("day_of_week"),
+        X.flag(_dow().isin(*S.WEEKEND_DAYS)).alias("is_weekend"),
+        X.flag(F.col("transaction_hour").between(*S.LATE_NIGHT_HOURS)).alias("is_late_night"),
+        _km().alias("geo_distance_km"))
+    return rows.select("*", X.flag(F.col("geo_distance_km") > S.FAR_FROM_HOME_KM).alias("is_far_from_home"), X.city_tier("city_pop").alias("city_tier"))
+
+
 def features(v: DataFrame, max_broadcast_rows: int = 100_000, stats: DataFrame | None = None) -> DataFrame:
     """The wide feature table: validated columns + 8 features (NULL category dropped).
 
     ``stats`` are those of ``v`` unless given (a stream takes them from a batch).
     """
     stats = category_stats(v) if stats is None else stats
-    km = _km()
-    base = v.select("*",
-                    _age().alias("customer_age"),
-                    _dow().alias("day_of_week"),
-                    X.flag(_dow().isin(*S.WEEKEND_DAYS)).alias("is_weekend"),
-                    X.flag(F.col("transaction_hour").between(*S.LATE_NIGHT_HOURS)).alias("is_late_night"),
-                    km.alias("geo_distance_km"))
-    joined = join_small(base, stats, "category", "inner", max_broadcast_rows)
+    joined = join_small(row_features(v), stats, "category", "inner", max_broadcast_rows)
     return joined.select(
-        *v.columns, "customer_age", "day_of_week", "is_weekend", "is_late_night", "geo_distance_km",
-        X.flag(F.col("geo_distance_km") > S.FAR_FROM_HOME_KM).alias("is_far_from_home"),
+        *v.columns, "customer_age", "day_of_week", "is_weekend", "is_late_night", "geo_distance_km", "is_far_from_home",
         ((F.col("amount") - F.col("_cat_avg")) / F.nullif(F.col("_cat_std"), F.lit(0.0))).alias("amount_z_score"),
-        X.city_tier("city_pop").alias("city_tier"))
+        "city_tier")

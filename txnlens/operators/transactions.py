@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -93,27 +93,58 @@ def merchant_summary(f: DataFrame) -> DataFrame:
             .orderBy(F.desc("fraud_rate_pct"), "merchant_name", "category"))
 
 
-def rapid_fire(f: DataFrame, minutes: int = 5) -> DataFrame:
-    """Pairs of one card's transactions with ``t1 < t2 <= t1 + minutes``.
+#: Rows on one side of a rapid-fire tile, about.
+TILE_ROWS = 4096
 
-    An interval self-join rewritten as an equi-join on (card, time bucket):
-    buckets are ``minutes`` wide, so a partner of t1 lies in t1's bucket or the
-    next; t1 is replicated to both and t2 sits in exactly one, so every pair is
-    produced once.  The join key spreads a busy card over its buckets, and AQE
-    splits any bucket that is still skewed.
+
+def rapid_fire_tiles(f: DataFrame, minutes: int = 5, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the rapid-fire join, dealt into tiles.
+
+    Buckets are ``minutes`` wide, so a partner of t1 lies in t1's bucket or the next: t1 goes
+    to both (``_jb``), t2 to its own.  A bucket's t2 rows are cut into parts of about
+    ``tile_rows`` by a hash of their ids, and so are the t1 rows that come to it; a tile is one
+    part against one part, and a row goes to every tile of its part.  Every pair meets in
+    exactly one tile, and no tile grows with a burst.  Only counts of busy buckets are
+    joined to the rows: none at all without bursts.
     """
     span = minutes * 60_000_000
-    cols = ["card_number", "full_name", "transaction_id", "transaction_ts", "amount", "merchant_name", "is_fraud"]
+    cols = ["card_number", "transaction_id", "transaction_ts", "amount", "merchant_name", "is_fraud", "full_name"]
     base = f.select(*cols, epoch_micros(F.col("transaction_ts")).alias("_m"))
     base = base.withColumn("_b", F.floor(F.col("_m") / F.lit(span)).cast("long"))
-    left = base.select(*[F.col(c).alias("l_" + c) for c in cols + ["_m"]],
-                       F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("_jb"))
-    right = base.select(*[F.col(c).alias("r_" + c) for c in ["card_number", "transaction_id", "transaction_ts",
-                                                             "amount", "merchant_name", "is_fraud", "_m"]],
-                        F.col("_b").alias("_rb"))
-    cond = ((F.col("l_card_number") == F.col("r_card_number")) & (F.col("_jb") == F.col("_rb"))
-            & (F.col("r__m") > F.col("l__m")) & (F.col("r__m") <= F.col("l__m") + F.lit(span))
+    busy = base.groupBy("card_number", "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile_rows // 2)
+    # a bucket's own count, the one before it and the one after it, on one row
+    near = busy.select("card_number", "_n", F.posexplode(F.array(F.col("_b") + 1, F.col("_b"), F.col("_b") - 1)).alias("_at", "_b"))
+    near = near.groupBy("card_number", "_b").agg(*[F.coalesce(F.max(F.when(F.col("_at") == k, F.col("_n"))), F.lit(0)).alias(name)
+                                                   for k, name in enumerate(("_before", "_own", "_after"))])
+    rows = base.join(near, ["card_number", "_b"], "left")
+
+    def parts(*counts: str) -> Column:
+        total = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts[1:]), F.coalesce(F.col(counts[0]), F.lit(0)))
+        return F.greatest(F.lit(1), F.ceil(total / tile_rows)).cast("int")
+
+    def tile(bucket: Column, theirs: Column, mine: Column) -> Column:
+        return F.struct(bucket.alias("_jb"), theirs.alias("_l"), mine.alias("_r"))
+
+    own = tile(F.col("_b"), parts("_before", "_own"), parts("_own"))
+    following = tile(F.col("_b") + 1, parts("_own", "_after"), parts("_after"))
+    place = F.xxhash64("transaction_id")
+    left = rows.select(*cols, "_m", F.inline(F.array(own, following)))
+    left = left.select(*cols, "_m", "_jb", F.pmod(place, F.col("_l")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("_j"))
+    right = rows.select(*cols[:-1], "_m", F.inline(F.array(own)))
+    right = right.select(*cols[:-1], "_m", "_jb", F.explode(F.sequence(F.lit(0), F.col("_l") - 1)).alias("_i"), F.pmod(place, F.col("_r")).cast("int").alias("_j"))
+    return left, right
+
+
+def rapid_fire(f: DataFrame, minutes: int = 5, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Pairs of one card's transactions with ``t1 < t2 <= t1 + minutes``: an interval self-join as an equi-join on tiles."""
+    span = minutes * 60_000_000
+    left, right = rapid_fire_tiles(f, minutes, tile_rows)
+    left = left.select(*[F.col(c).alias("l_" + c) for c in left.columns])
+    right = right.select(*[F.col(c).alias("r_" + c) for c in right.columns])
+    cond = ((F.col("r__m") > F.col("l__m")) & (F.col("r__m") <= F.col("l__m") + F.lit(span))
             & (F.col("r_transaction_id") != F.col("l_transaction_id")))
+    for c in ("card_number", "_jb", "_i", "_j"):
+        cond = (F.col("l_" + c) == F.col("r_" + c)) & cond
     return (left.join(right, cond, "inner")
             .select(F.col("l_card_number").alias("card_number"), F.col("l_full_name").alias("full_name"),
                     F.col("l_transaction_id").alias("txn_1_id"), F.col("r_transaction_id").alias("txn_2_id"),

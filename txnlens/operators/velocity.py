@@ -1,85 +1,66 @@
 """Card velocity (B5): count, spend and max of the same card's earlier
 transactions in the open interval ``(ts - window, ts)``.
 
-One plan at every size, linear in the rows.  Transactions of a card at one
-instant are summed first.  The interval then falls into pieces, each from a
-running frame or a short one:
-
-* inside the second of ``ts``, the instants before it, and inside the second of
-  ``ts - window``, the instants after it;
-* inside the hours of both, the whole seconds before and after;
-* the whole hours between.
-
-Rows of one window earlier take part as copies moved ahead by the window, so a
-group is one (card, second) of instants or one (card, hour) of at most 3,600
-seconds: a card that holds a third of all rows is split by time.
+Time is cut into hours, and a card's hour is a group of its own, so a card that
+holds a third of all rows is spread over its hours.  The interval falls into three
+pieces, and all that a row needs of them lies in the group of its hour:
+
+* its own hour's rows before it;
+* the rows of one window earlier, which join the hour as copies moved ahead by the
+  window, after it;
+* the whole hours between, one row an hour that stands before all others.
+
+So the first piece and the last are one running frame in time order, the second is a
+running frame in reverse order, both linear in the group, and Spark spills a
+long group to disk.  Three shuffles: the hours' sums, the sums over neighbouring hours
+(one row an hour), and the rows themselves, which travel once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import epoch_micros
 
-SECOND_US = 1_000_000
-HOUR_S = 3_600
-_MONEY = "decimal(28,2)"
-
-
-def _sums(df: DataFrame, *keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_s").cast(_MONEY).alias("_s"), F.max("_x").alias("_x"))
+HOUR_US = 3_600_000_000
 
 
-def _plus(a: Column, b: Column) -> Column:
-    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-
-
-def _around(points: DataFrame, at: str, per: int, window: int, names: list[str]) -> DataFrame:
-    """Per (card, ``at``): the points before it in its bucket of ``per``, and those after ``at - window`` in that one's bucket."""
-    now = points.withColumn("_old", F.lit(False))
-    old = points.withColumn(at, F.col(at) + window).withColumn("_old", F.lit(True))
-    both = now.unionByName(old).withColumn("_b", F.floor(F.col(at) / per))
-    bucket = Window.partitionBy("card_number", "_b")
-    before = bucket.orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    after = bucket.orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
-    mine, theirs = (lambda c: F.when(~F.col("_old"), F.col(c))), (lambda c: F.when(F.col("_old"), F.col(c)))
-    n, s, x = names
-    found = both.select(
-        "card_number", at, "_old",
-        _plus(F.sum(mine("_n")).over(before), F.sum(theirs("_n")).over(after)).alias(n),
-        _plus(F.sum(mine("_s")).over(before), F.sum(theirs("_s")).over(after)).cast(_MONEY).alias(s),
-        F.greatest(F.max(mine("_x")).over(before), F.max(theirs("_x")).over(after)).alias(x))
-    return found.where(~F.col("_old")).drop("_old")
+def _between(rows: DataFrame, hours: int) -> DataFrame:
+    """Per card and hour with rows: sums over the ``hours - 1`` hours before it, as an event ahead of the hour's own."""
+    per_hour = rows.groupBy("card_number", "_b").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.max("_x").alias("_x"))
+    before = Window.partitionBy("card_number").orderBy("_b").rangeBetween(-(hours - 1), -1)
+    sums = per_hour.select("card_number", "_b", (F.col("_b") * HOUR_US - 1).alias("_at"),
+                           *[f(c).over(before).alias(c) for f, c in ((F.sum, "_n"), (F.sum, "_s"), (F.max, "_x"))])
+    return sums.where(F.col("_n").isNotNull())
 
 
 def card_velocity(v: DataFrame, hours: int = 24) -> DataFrame:
     """``txn_count_{hours}h``, ``spend_{hours}h`` and ``max_txn_{hours}h`` of the card's previous ``hours``, for each transaction."""
-    rows = v.select("transaction_id", "card_number", "transaction_ts", "amount",
-                    epoch_micros(F.col("transaction_ts")).alias("_m"))
-    second = F.floor(F.col("_m") / SECOND_US).cast("long")
-    instants = rows.groupBy("card_number", "_m").agg(
-        F.count("amount").alias("_n"), F.sum("amount").cast(_MONEY).alias("_s"), F.max("amount").alias("_x"))
-    seconds = _sums(instants, "card_number", second.alias("_sec"))
-    whole_hours = _sums(seconds, "card_number", F.floor(F.col("_sec") / HOUR_S).cast("long").alias("_hour"))
-
-    inner = _around(instants, "_m", SECOND_US, hours * HOUR_S * SECOND_US, ["_n1", "_s1", "_x1"])
-    outer = _around(seconds, "_sec", HOUR_S, hours * HOUR_S, ["_n2", "_s2", "_x2"])
-    # one row an hour; no hour lies whole between the ends of a window of one
-    between = Window.partitionBy("card_number").orderBy("_hour").rangeBetween(-max(1, hours - 1), -1)
-    whole_hours = whole_hours if hours > 1 else whole_hours.where("false")
-    middle = whole_hours.select("card_number", "_hour", F.sum("_n").over(between).alias("_n3"),
-                                F.sum("_s").over(between).cast(_MONEY).alias("_s3"), F.max("_x").over(between).alias("_x3"))
-
-    keyed = inner.withColumn("_sec", second).withColumn("_hour", F.floor(F.col("_sec") / HOUR_S).cast("long"))
-    pieces = keyed.join(outer, ["card_number", "_sec"], "left").join(middle, ["card_number", "_hour"], "left")
-    total = pieces.select(
-        "card_number", "_m",
-        (_plus(F.col("_n1"), F.col("_n2")) + F.coalesce("_n3", F.lit(0))).alias("_n"),
-        (_plus(F.col("_s1"), F.col("_s2")) + F.coalesce("_s3", F.lit(0))).cast(_MONEY).alias("_s"),
-        F.greatest("_x1", "_x2", "_x3").alias("_x"))
-    return rows.join(total, ["card_number", "_m"], "left").select(
+    hour = F.floor(F.col("_at") / HOUR_US).cast("long")
+    rows = v.select("transaction_id", "card_number", "transaction_ts", "amount", epoch_micros(F.col("transaction_ts")).alias("_at"),
+                    F.when(F.col("amount").isNotNull(), 1).otherwise(0).cast("long").alias("_n"),
+                    (F.col("amount").cast("decimal(12,2)") * 100).cast("long").alias("_s"))  # cents: exact, and cheaper to sum than decimals
+    rows = rows.withColumns({"_x": F.col("_s"), "_b": hour})
+    earlier = rows.select("card_number", (F.col("_at") + hours * HOUR_US).alias("_at"), "_n", "_s", "_x").withColumn("_b", hour)
+    events = rows.withColumn("_kind", F.lit(0)).unionByName(earlier.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    if hours > 1:  # no hour lies whole between the ends of a window of one
+        events = events.unionByName(_between(rows, hours).withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+
+    group = Window.partitionBy("card_number", "_b")
+    before = group.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    after = group.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    old = F.col("_kind") == 1
+    pieces = events.select(
+        "transaction_id", "card_number", "transaction_ts", "amount", "_kind",
+        *[f(F.when(~old, F.col(c))).over(before).alias(c + "1") for f, c in ((F.sum, "_n"), (F.sum, "_s"), (F.max, "_x"))],
+        *[f(F.when(old, F.col(c))).over(after).alias(c + "2") for f, c in ((F.sum, "_n"), (F.sum, "_s"), (F.max, "_x"))])
+
+    def money(cents):
+        return (cents.cast("decimal(28,0)") / 100).cast("decimal(28,2)")
+
+    both = {c: F.coalesce(F.col(c + "1"), F.lit(0)) + F.coalesce(F.col(c + "2"), F.lit(0)) for c in ("_n", "_s")}
+    return pieces.where("_kind = 0").select(
         "transaction_id", "card_number", "transaction_ts", "amount",
-        F.coalesce("_n", F.lit(0)).alias(f"txn_count_{hours}h"),
-        F.coalesce("_s", F.lit(0)).alias(f"spend_{hours}h"),
-        F.coalesce("_x", F.lit(0)).alias(f"max_txn_{hours}h"))
+        both["_n"].alias(f"txn_count_{hours}h"), money(both["_s"]).alias(f"spend_{hours}h"),
+        F.coalesce(money(F.greatest("_x1", "_x2")), F.lit(0)).cast("decimal(12,2)").alias(f"max_txn_{hours}h"))

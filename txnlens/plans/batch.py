@@ -39,10 +39,20 @@ class MaterializedStages(Stages):
         self.out_dir = out_dir or shared_dir(spark, "txnlens")
         self.partition_features_by_month = partition_features_by_month
         self.max_rows_per_file = max_rows_per_file
-        clean_path = f"{self.out_dir}/clean"
         self.features_path = f"{self.out_dir}/features"
-        write_table(cleaning.clean(raw, permissive), clean_path, max_rows_per_file=max_rows_per_file)
-        clean_df = spark.read.parquet(clean_path)
+        if permissive:
+            # one pass over the raw rows writes both kinds, each to a folder of its own
+            status = F.when(F.size("reasons") > 0, "rejected").otherwise("clean")
+            routed = cleaning.route(raw).withColumn("status", status)
+            write_table(routed, f"{self.out_dir}/routed", ["status"], max_rows_per_file=max_rows_per_file)
+            held = spark.read.schema(routed.schema).parquet(f"{self.out_dir}/routed")
+            self.clean_path = f"{self.out_dir}/routed/status=clean"
+            clean_df = held.where("status = 'clean'").select(*cleaning.CLEAN_COLUMNS)
+            self.rejected = cleaning.rejected(held.where("status = 'rejected'"))
+        else:
+            self.clean_path = f"{self.out_dir}/clean"
+            write_table(cleaning.clean(raw), self.clean_path, max_rows_per_file=max_rows_per_file)
+            clean_df = spark.read.parquet(self.clean_path)
         self._cache["clean"] = clean_df
         self._cache["validated"] = cleaning.validated(clean_df)
         if not defer_features:
@@ -102,14 +112,14 @@ def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, nam
     the reports that need only ``clean`` / ``validated`` already run.  The clean and the
     feature table are their own reports (``TABLE_REPORTS``); with
     ``partition_features_by_month`` the latter has ``txn_month`` besides.  A ``permissive``
-    run drops rows with malformed critical fields and counts them in the report ``rejected_rows``.
+    run sends rows with missing or malformed critical fields, and the reasons, to the table ``rejected_rows``.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     names = list(names or CATALOG)
     stages = MaterializedStages(spark, raw, raw_dups, out_dir, partition_features_by_month, defer_features=True,
                                 permissive=permissive)
-    tables = {n: f"{stages.out_dir}/{TABLE_REPORTS[n]}" for n in names if n in TABLE_REPORTS}
+    tables = {n: {"clean": stages.clean_path, "features": stages.features_path}[TABLE_REPORTS[n]] for n in names if n in TABLE_REPORTS}
     early = [n for n in names if n not in tables and CATALOG[n].stage != "features"]
     late = [n for n in names if n not in tables and CATALOG[n].stage == "features"]
     with ThreadPoolExecutor(max_workers=1) as builder:
@@ -120,5 +130,5 @@ def run_all(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, nam
     paths = {n: (paths | tables)[n] for n in names}
     if permissive:
         paths["rejected_rows"] = f"{stages.out_dir}/reports/rejected_rows"
-        write_table(cleaning.rejected_rows(raw), paths["rejected_rows"])
+        write_table(stages.rejected, paths["rejected_rows"])
     return paths

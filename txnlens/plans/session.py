@@ -17,6 +17,8 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.scheduler.mode": "FAIR",
+    # no call site is looked up for each column: half of the time a report takes to be defined
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -61,7 +61,7 @@ def raw_from_events(events: DataFrame, with_duplicates: bool = False) -> DataFra
                F.concat(u.cast("string"), F.lit(" Main St")).alias("street"),
                F.concat(F.lit("City"), (u % 37).cast("string")).alias("city"),
                _pick(u % 12, FIXTURE_STATES).alias("state"),
-               (1000 + u).cast("string").alias("zip"),
+               F.concat((1000 + u).cast("string"), F.when(u % 50 == 7, "-123456789").otherwise("")).alias("zip"),
                (25 + (u % 23)).cast("double").alias("lat"),
                (-120 + (u % 50)).cast("double").alias("long"),
                (300 + 25 * F.pow(u % 37, 3).cast("bigint")).alias("city_pop"),
