@@ -5,9 +5,9 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_compare import compare, duck
-from txnlens.plans.catalog import CATALOG
+from txnlens.plans.catalog import CATALOG, EXTRAS
 
-NAMES = sorted(CATALOG)
+NAMES = sorted({*CATALOG, *EXTRAS})
 
 
 @pytest.fixture(scope="module")

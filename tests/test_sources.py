@@ -13,6 +13,7 @@ from txnlens.plans.catalog import fixture_stages
 from txnlens.plans.batch import run_all
 from txnlens.schema import RAW_COLUMNS
 from txnlens.sources.raw import read_raw_csv, read_raw_parquet
+from txnlens.sources.manifest import ManifestTable
 from txnlens.streaming.ingest import read_raw_stream, start_parquet_sink, start_report_sink, stream_features
 
 
@@ -61,12 +62,34 @@ def test_streaming_features_match_batch(spark):
     files = spark.readStream.schema(got.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/out")
     q2 = start_report_sink(daily_volume(files), f"{d}/daily", f"{d}/ckpt2", trigger_once=True)
     q2.awaitTermination()
-    last = max(int(x.split("=")[1]) for x in os.listdir(f"{d}/daily") if x.startswith("batch="))
-    emitted, want = spark.read.parquet(f"{d}/daily/batch={last}"), daily_volume(batch)
-    assert last > 0 and emitted.count() == want.count()
+    table = ManifestTable(spark, f"{d}/daily")
+    emitted, want = table.read(), daily_volume(batch)
+    assert table.versions()[-1] > 3 and len(os.listdir(f"{d}/daily/data")) <= 3 and emitted.count() == want.count()
     assert emitted.exceptAll(want).count() == 0
 
 
+def test_a_report_of_some_days_reads_their_months_only(spark):
+    """Two years of rows: only the months of the wanted days are listed."""
+    from txnlens.operators.kpis import monthly_trend
+    from txnlens.operators.transactions import daily_volume
+    from txnlens.plans.batch import read_features
+
+    f = fixture_stages(spark, SF_SMALL).get("features")
+    f = f.withColumn("transaction_date", F.expr("date_add(date'2023-01-01', cast(pmod(xxhash64(transaction_id), 730) as int))"))
+    path = f"{_fresh()}/features"
+    f.withColumn("txn_month", F.date_format("transaction_date", "yyyy-MM")).write.partitionBy("txn_month").parquet(path)
+    f = spark.read.parquet(path).drop("txn_month")
+    some = read_features(spark, path, "2023-11-20", "2024-02-03")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    listed = plan[plan.index("PartitionFilters: [") :]
+    assert "txn_month" in listed[: listed.index("]")] and "2023-11" in listed and "2024-02" in listed
+    assert len({x.split("txn_month=")[1].split("/")[0] for x in some.inputFiles()}) == 24 and some.columns == f.columns
+    want = f.where(F.col("transaction_date").between("2023-11-20", "2024-02-03"))
+    for report in (monthly_trend, daily_volume):
+        assert [tuple(r) for r in report(some).collect()] == [tuple(r) for r in report(want).collect()]
+    assert read_features(spark, path).count() == f.count() and read_features(spark, path, first="2024-12-30").count() == f.where("transaction_date >= '2024-12-30'").count()
+
+
 def test_month_partitioned_features_prune(spark):
     from txnlens.plans.batch import MaterializedStages
 

@@ -23,6 +23,21 @@ VIEW_NAMES = {"transactions_clean": "clean", "transactions_validated": "validate
               "transaction_features": "features"}
 
 
+def read_features(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The feature table written at ``path``, of the days ``first`` to ``last``.
+
+    Of a table partitioned by month only the months of these days are read.
+    """
+    f = spark.read.parquet(path)
+    monthly = "txn_month" in f.columns
+    for day, op in ((first, ">="), (last, "<=")):
+        if day is not None:
+            f = f.where(f"transaction_date {op} date'{day}'")
+            if monthly:
+                f = f.where(f"txn_month {op} '{day[:7]}'")
+    return f.drop("txn_month") if monthly else f
+
+
 class MaterializedStages(Stages):
     """Stages whose clean and features tables were written to storage.
 

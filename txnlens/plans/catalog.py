@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import audit, cleaning, customers, features as feat, geography, kpis, transactions, velocity
 from ..sources.fixture import raw_transactions
+from ..sources.sinks import shared_dir
 
 DOB_AS_OF = "2025-01-01"  # fixed reference date for the age audit (CURRENT_DATE is not reproducible)
 
@@ -141,6 +142,26 @@ def run_named(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return fixture_stages(spark, sf_dir).run(name)
 
 
+#: Reports that are also run from a store of day partials.
+STORED = ("customer_summary", "fraud_by_job", "fraud_by_state", "top_fraud_cities", "merchant_summary", "daily_volume", "amount_moments")
+
+
+def _stored(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .rollup import two_loads
+
+        return two_loads(feat.row_features(fixture_stages(spark, sf_dir).get("validated")), name, shared_dir(spark, "rollup"))
+
+    return run
+
+
+#: Queries beside the catalog: reports over a store of two loads, and why raw rows are rejected.
+EXTRAS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{f"rollup_{name}": _stored(name) for name in STORED},
+    "rejected_rows": lambda spark, sf_dir: cleaning.rejected_rows(raw_transactions(spark, sf_dir)),
+}
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """Canonical comparison types: integers -> BIGINT, decimals -> DOUBLE,
     doubles rounded to 6 dp (last-bit differences between engines vanish)."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import schema as S
 from ..operators import cleaning
 from ..operators.features import features
-from ..sources.sinks import write_table
+from ..sources.manifest import ManifestTable
 
 
 def read_raw_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int = 64) -> DataFrame:
@@ -40,13 +40,18 @@ def start_parquet_sink(stream: DataFrame, path: str, checkpoint: str, mode: str
     return w.start()
 
 
-def start_report_sink(report: DataFrame, path: str, checkpoint: str, trigger_once: bool = False):
+def start_report_sink(report: DataFrame, path: str, checkpoint: str, trigger_once: bool = False, keep: int = 3):
     """Keeps an aggregated report (such as ``transactions.daily_volume`` of a feature stream) up to date.
 
-    Each trigger writes the whole report to ``path/batch=<n>``; the highest number is current.
+    Each trigger replaces the report's ``ManifestTable`` at ``path`` as a whole: a reader sees one trigger's
+    rows or the next one's, and the files of all but the last ``keep`` are removed.
     """
-    w = (report.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda rows, n: write_table(rows, f"{path}/batch={n}")))
+    def replace(rows: DataFrame, n: int) -> None:
+        table = ManifestTable(rows.sparkSession, path)
+        table.replace(rows)
+        table.vacuum(keep)
+
+    w = report.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
