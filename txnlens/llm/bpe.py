@@ -22,6 +22,7 @@ import base64
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from txnlens.llm import common
 
 VOCABULARY = 1 << 20
 #: Bytes of remembered matches in a worker, about, and characters of the longest match kept.
-REMEMBERED, SHORT = 48 << 20, 64
+REMEMBERED, SHORT = 80 << 20, 64
 #: Texts beyond this many characters are matched piece by piece.
 LONG = 1 << 20
 
@@ -83,10 +84,7 @@ class PerfectHash:
             self.seeds[bucket], self.key_at[at] = -at - 1, k
 
     def _slot(self, digest: int, seed: int) -> int:
-        x = digest ^ (seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-        return (x ^ (x >> 31)) % self.n
+        return ((digest ^ seed * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 >> 31 & 0x7FFFFFFF) % self.n
 
     def find(self, key: bytes) -> int:
         """The number of a key, or any number for what is none: the caller compares."""
@@ -115,29 +113,37 @@ class Encoder:
         return [k] if self.tokens[k] == match else self._merge(match)
 
     def _merge(self, match: bytes) -> list[int]:
-        rank_of, base = self.pairs.get, self.base
-        ids = [*map(self.byte.__getitem__, match)]
+        rank_of, base, byte = self.pairs.get, self.base, self.byte
+        ids = [byte[b] for b in match]
         n = len(ids)
         shift = n.bit_length()
         mask = (1 << shift) - 1
-        heap = [rank << shift | i for i, pair in enumerate(zip(ids, ids[1:])) if (rank := rank_of(pair[0] * base + pair[1])) is not None]
+        heap = []
+        for i in range(n - 1):
+            rank = rank_of(ids[i] * base + ids[i + 1])
+            if rank is not None:
+                heap.append(rank << shift | i)
         heapify(heap)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        ids.append(-base * base)  # stands behind the last byte and pairs with nothing
         while heap:
             entry = heappop(heap)
             i, rank = entry & mask, entry >> shift
-            left, j = ids[i], after[i]
-            if left < 0 or j >= n or rank_of(left * base + ids[j]) != rank:
+            j, left = after[i], ids[i]
+            if left < 0 or rank_of(left * base + ids[j]) != rank:
                 continue  # one side has been merged meanwhile
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (found := rank_of(rank * base + ids[k])) is not None:
+                found = rank_of(rank * base + ids[k])
+                if found is not None:
                     heappush(heap, found << shift | i)
             p = before[i]
-            if p >= 0 and (found := rank_of(ids[p] * base + rank)) is not None:
-                heappush(heap, found << shift | p)
+            if p >= 0:
+                found = rank_of(ids[p] * base + rank)
+                if found is not None:
+                    heappush(heap, found << shift | p)
         return [x for x in ids if x >= 0]
 
 
@@ -150,7 +156,8 @@ class _Remembered(dict):
     def __missing__(self, match: str) -> bytes:
         found = self.old.get(match)
         if found is None:
-            found = np.array(self.encoder.encode_match(match.encode()), dtype="<u4").tobytes()
+            ids = self.encoder.encode_match(match.encode())
+            found = pack(f"<{len(ids)}I", *ids)
             if len(match) > SHORT:
                 return found
         self.size += 200 + 4 * len(match) + len(found)  # about what Python takes for the two and their place
