@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -256,6 +257,30 @@ def test_decontamination(spark, index_bytes):
     assert len(want - got) == 0
 
 
+def test_index_is_as_long_as_its_items():
+    """1 MB of items make an index of a few MB, and each block's maxima are those of its items."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 60000}" for _ in range(40)) for _ in range(4000)]
+    items = [decontaminate.Item(k, t) for k, t in enumerate(texts)]
+    holds = Counter(w for x in items for w in set(x.words.tolist()))
+    indexes = decontaminate.build([(k, t, 1) for k, t in enumerate(texts)], holds, len(texts), 40.0)
+    assert sum(map(len, texts)) > 500_000 and len(pickle.dumps(indexes)) < 10_000_000
+    for index in indexes:
+        tops = {(t, b): max(xs) for b, lists in enumerate(index.postings) for t, (_, xs) in lists.items()}
+        found = {(t, int(index.top_block[k])): index.top[k] for t in range(len(index.vocabulary)) for k in range(index.top_start[t], index.top_start[t + 1])}
+        assert found.keys() == tops.keys() and all(tops[k] <= found[k] <= tops[k] * 1.00001 for k in tops)
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    rng = random.Random(4)
+    items = [(k % 30, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([6, 12, 40])))) for k in range(40)]
+    items += [items[3]] * 25 + [(None, items[5][1])] * 2
+    docs = [(d, " ".join([*(f"x{rng.randrange(99)}" for _ in range(30)), items[rng.randrange(40)][1]])) for d in range(50)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.contaminated(*tables, size).collect()), key=repr) for size in (1 << 20, 300))
+    assert one == many and any(one.count(r) == 26 for r in one)
+
+
 def test_copies_with_insertions_at_every_offset(spark):
     item = " ".join(f"q{k}" for k in range(27)) + ".\n" + " ".join(f"a{k}" for k in range(5))
     words = item.split()

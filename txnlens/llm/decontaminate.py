@@ -21,7 +21,9 @@ the item's question and of its answer. The answer is the item's last line, or it
 sentence, or its last quarter; its shingles are all that end in it.
 
 Items are taken in blocks of at most ``INDEX_BYTES`` (about), one index and one pass over the
-corpus a block, so that what is broadcast has a bound however large the benchmark is.
+corpus a block, one index at a time, so that what is broadcast has a bound however large the
+benchmark is; equal items are indexed once. How rare a word is and how long items are on average
+is counted over all of them, so that scores do not depend on the blocks.
 
 Results for odd input: null, empty and wordless texts and items match nothing; repeated
 rows and repeated items are reported each; null ids are kept as null; an empty table on
@@ -33,6 +35,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +85,8 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 class Item:
-    def __init__(self, item_id: int | None, text: str):
-        self.item_id = item_id
+    def __init__(self, item_id: int | None, text: str, copies: int = 1):
+        self.item_id, self.copies = item_id, copies
         question, answer = split_item(text)
         asked = len(_hashed(question))
         self.words = np.concatenate([_hashed(question), _hashed(answer)])
@@ -117,34 +120,42 @@ class Index:
         self.seen = np.zeros(1 << 18, dtype=bool)  # by the first bits of a word's hash: most other words are sorted out here
         self.seen[self.vocabulary >> np.uint64(46)] = True
         place = {w: k for k, w in enumerate(self.vocabulary.tolist())}
-        blocks = -(-len(items) // BLOCK)
-        self.tops = np.zeros((len(place), blocks), dtype=np.float32)
-        self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
+        self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(-(-len(items) // BLOCK))]
         for at, k in enumerate(order):
             for w, x in impacts[k].items():
-                t, b = place[w], at // BLOCK
-                self.tops[t, b] = max(self.tops[t, b], np.float32(x * (1 + 1e-6)))
-                items_at, xs = self.postings[b].setdefault(t, ([], []))
+                items_at, xs = self.postings[at // BLOCK].setdefault(place[w], ([], []))
                 items_at.append(at)
                 xs.append(x)
-        self.block_least = self.least[::BLOCK].astype(np.float32)
+        # block maxima by word, for the blocks that hold it: as long as the posting lists, whatever the vocabulary
+        tops = sorted((t, b, max(xs) * (1 + 1e-6)) for b, lists in enumerate(self.postings) for t, (_, xs) in lists.items())
+        self.top_start = np.searchsorted(np.array([t for t, _, _ in tops]), np.arange(len(place) + 1))
+        self.top_block = np.array([b for _, b, _ in tops], dtype=np.int64)
+        self.top = np.array([x for _, _, x in tops])
+        self.block_least = self.least[::BLOCK]
 
     def passing(self, terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Query and block wherever the sum of the block's maxima reaches its least threshold."""
         out = []
-        step = max(1, (1 << 22) // max(1, self.tops.shape[1]))
-        cuts = [0]
-        while cuts[-1] < len(first) - 1:
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + step, "right")) - 1))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            bound = np.add.reduceat(self.tops[terms[first[a] : first[b]]], first[a:b] - first[a], axis=0)
-            q, k = np.nonzero(bound * np.float32(1 + 1e-5) >= self.block_least)
+        blocks, n = len(self.postings), np.diff(self.top_start)[terms]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        # as many queries at a time as have some million sums and maxima
+        cost = np.arange(len(first)) * blocks + upto[first]
+        a = 0
+        while a < len(first) - 1:
+            b = max(a + 1, int(np.searchsorted(cost, cost[a] + (1 << 21), "right")) - 1)
+            some = slice(first[a], first[b])
+            at = np.arange(upto[first[b]] - upto[first[a]]) + np.repeat(self.top_start[terms[some]] - (upto[some] - upto[first[a]]), n[some])
+            query = np.repeat(np.repeat(np.arange(b - a), np.diff(first[a : b + 1])), n[some])
+            bound = np.bincount(query * blocks + self.top_block[at], weights=self.top[at], minlength=(b - a) * blocks).reshape(b - a, blocks)
+            q, k = np.nonzero((bound > 0) & (bound * (1 + 1e-9) >= self.block_least))
             out.append((q + a, k))
+            a = b
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
 
     def walk(self, terms: list[int], block: int) -> list[tuple[int, float]]:
         """Items of a block at or above their threshold, with their scores: WAND over its posting lists."""
-        lists = [[*self.postings[block][t], float(self.tops[t, block]), 0] for t in terms if t in self.postings[block]]
+        held = self.postings[block]
+        lists = [[*held[t], max(held[t][1]) * (1 + 1e-6), 0] for t in terms if t in held]
         found, floor = [], float(self.block_least[block])
         while lists:
             lists.sort(key=lambda x: x[0][x[3]])
@@ -158,11 +169,10 @@ class Index:
                 break
             item = lists[pivot][0][lists[pivot][3]]
             if lists[0][0][lists[0][3]] == item:
-                score = 0.0
-                for x in lists:
-                    if x[0][x[3]] == item:
-                        score += x[1][x[3]]
-                        x[3] += 1
+                here = [x for x in lists if x[0][x[3]] == item]
+                score = fsum(x[1][x[3]] for x in here)  # in any order the same
+                for x in here:
+                    x[3] += 1
                 if score >= self.least[item]:
                     found.append((item, score))
             else:
@@ -173,14 +183,10 @@ class Index:
         return found
 
 
-def build(rows: list[tuple[int | None, str]]) -> list[Index]:
-    """The indexes of some items, one for each length class."""
-    items = [x for x in (Item(i, t.lower()) for i, t in rows if t) if len(x.words)]
-    if not items:
-        return []
-    holds = Counter(w for x in items for w in set(x.words.tolist()))
-    idf = {w: float(np.log1p((len(items) - n + 0.5) / (n + 0.5))) for w, n in holds.items()}
-    mean = sum(len(x.words) for x in items) / len(items)
+def build(rows: list[tuple[int | None, str, int]], holds: dict[int, int], n_items: int, mean: float) -> list[Index]:
+    """The indexes of some items (id, text, copies), one for each length class; of all ``n_items`` items ``holds`` tells how many have a word, ``mean`` how long they are."""
+    items = [x for x in (Item(i, t.lower(), n) for i, t, n in rows if t) if len(x.words)]
+    idf = {w: float(np.log1p((n_items - n + 0.5) / (n + 0.5))) for w, n in holds.items()}
     classes: dict[int, list[Item]] = {}
     for x in items:
         classes.setdefault(max(8, 1 << (len(x.words) - 1).bit_length()), []).append(x)
@@ -241,17 +247,29 @@ def _matches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                 for d, at, item, score, overlaps in _search(words, doc, j - i, index):
                     known = best.get((d, id(item)))
                     if known is None or (score, -at) > (known[3], -known[2]):
-                        best[d, id(item)] = (d, item.item_id, at, score, overlaps[0], overlaps[-1])
+                        best[d, id(item)] = (d, item.item_id, at, score, overlaps[0], overlaps[-1], item.copies)
             if best:
                 rows = list(best.values())
                 d = pa.array(np.array([r[0] for r in rows]) + i)
                 yield pa.RecordBatch.from_arrays(
-                    [did.take(d), crc.take(d), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64())))],
-                    names=["did", "crc", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
+                    [did.take(d), crc.take(d), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64()), (6, pa.int64())))],
+                    names=["did", "crc", "item_id", "first_word", "score", "question_overlap", "answer_overlap", "copies"])
             i = j
 
 
-_FOUND = "did long, crc binary, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
+_FOUND = "did long, crc binary, item_id long, first_word long, score double, question_overlap double, answer_overlap double, copies long"
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item, with its block and copies; the first row of an item has its length, too."""
+    for batch in batches:
+        for part, text, copies in zip(*(batch.column(c).to_pylist() for c in ("part", "text", "copies")), strict=True):
+            item = Item(None, text.lower())
+            words = np.unique(item.words)
+            n = len(words)
+            length = np.zeros(n, np.int64)
+            length[:1] = len(item.words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int64)), pa.array(words.view(np.int64)), pa.array(np.full(n, copies, np.int64)), pa.array(length)], names=["part", "word", "copies", "length"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -259,17 +277,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTE
     common.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # equal items are one, with a count: no block grows by repetition
+    items = common.keep(items.groupBy("item_id", "text").agg(F.count("*").alias("copies")), "items")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // index_bytes))
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    # how many of all items hold a word, and their mean length: the same whatever the blocks
+    words = common.keep(items.mapInArrow(_item_words, "part long, word long, copies long, length long"), "item-words")
+    holds = common.keep(words.groupBy("word").agg(F.sum("copies").alias("n")), "holds")
+    n_items, length = words.where("length > 0").agg(F.coalesce(F.sum("copies"), F.lit(0)), F.sum(F.col("length") * F.col("copies"))).first()
     lowered = docs.select("did", "crc", F.lower("text").alias("text"))
-    found = None
-    for part in range(blocks):  # a block of items at a time, each against all documents
-        rows = items.where(F.col("part") == part).select("item_id", "text").orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in rows]))
+    found = spark.createDataFrame([], _FOUND)
+    for part in range(blocks if n_items else 0):  # a block of items at a time, each against all documents
+        rows = items.where(F.col("part") == part).orderBy("item_id", "text").collect()
+        held = holds.join(words.where(F.col("part") == part).select("word").distinct(), "word").collect()  # words of the block
+        index = build([(r["item_id"], r["text"], r["copies"]) for r in rows], {r["word"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in held}, n_items, length / n_items)
+        shared = spark.sparkContext.broadcast(index)
         some = lowered.mapInArrow(lambda x, s=shared: _matches(x, s), _FOUND)
-        found = some if found is None else found.unionByName(some)
-    return found
+        if blocks > 1:  # written, so that the next block's index takes this one's place
+            some = common.keep(some, "matches")
+            shared.unpersist()
+        found = some if part == 0 else found.unionByName(some)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
