@@ -182,12 +182,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple:
     langs = sorted(sizes)
     quota = max(1, sample // len(langs))
     rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, 1.2 * quota / sizes[lang]) * (1 << 30)))])
-    chosen = learn.where(F.col("draw") < rate[F.col("lang")]).withColumn("part", F.pmod(F.col("draw"), F.lit(5)))
+    chosen = learn.where(F.col("draw") < rate[F.col("lang")]).withColumnRenamed("draw", "part")
     shared = spark.sparkContext.broadcast(idf)
-    drawn = chosen.select("lang", "part", "text").mapInArrow(lambda x: _vectors(x, shared), "lang string, part long, at array<int>, x array<float>").limit(2 * sample).toArrow()
+    drawn = chosen.select("lang", "part", "text").mapInArrow(lambda x: _vectors(x, shared), "lang string, part long, at array<int>, x array<float>")
+    drawn = drawn.orderBy("part", "lang").limit(2 * sample).toArrow()  # should the draw overshoot, the first ones stay
     number = {lang: k for k, lang in enumerate(langs)}
     y = np.array([number[x] for x in drawn.column("lang").to_pylist()], dtype=np.int64)
-    part = drawn.column("part").to_numpy()
+    part = drawn.column("part").to_numpy() % 5
     vectors = [(a.values.to_numpy(), x.values.to_numpy().astype(np.float64)) for a, x in zip(drawn.column("at"), drawn.column("x"), strict=True)]
     for_fit, for_heat = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
     if not len(for_fit) or not len(for_heat):
