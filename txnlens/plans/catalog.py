@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import audit, cleaning, customers, features as feat, geography, kpis, transactions, velocity
 from ..sources.fixture import raw_transactions
+from ..sources.raw import read_raw_csv
 from ..sources.sinks import shared_dir
 
 DOB_AS_OF = "2025-01-01"  # fixed reference date for the age audit (CURRENT_DATE is not reproducible)
@@ -155,9 +156,19 @@ def _stored(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-#: Queries beside the catalog: reports over a store of two loads, and why raw rows are rejected.
+def _from_csv(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_dir(spark, "csv")
+        raw_transactions(spark, sf_dir).write.option("header", True).csv(path)
+        return Stages(read_raw_csv(spark, path)).run(name)
+
+    return run
+
+
+#: Queries beside the catalog: reports over a store of two loads, from CSV text, and why raw rows are rejected.
 EXTRAS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"rollup_{name}": _stored(name) for name in STORED},
+    "csv_fraud_by_category": _from_csv("fraud_by_category"),
     "rejected_rows": lambda spark, sf_dir: cleaning.rejected_rows(raw_transactions(spark, sf_dir)),
 }
 

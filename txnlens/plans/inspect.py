@@ -55,9 +55,8 @@ def main(sf_dir: str = "/root/testdata/sf0.01", out: str = "PLANS.md") -> None:
              "Generated by `python -m txnlens.plans.inspect` (AQE initial plans, local[8], "
              f"input `{sf_dir}`; reports read the materialised 34-column feature table).",
              "`single_partition_exchanges` only ever sit above aggregated rows (days, states, top-k).",
-             "The percentile reports (amount_features, distance_stats, amount_distribution) run their exact",
-             "selection passes (one grouped aggregate, optional histogram rounds, one bounded rank window) when",
-             "they are defined; the table shows only the final plan over the per-group result.", "",
+             "The percentile reports shuffle counts only; their scalar subquery is shown wherever it is used (twice).",
+             "amount_features writes its statistics when it is defined; the table shows the join with them.", "",
              "| operator | stage | " + " | ".join(cols) + " |",
              "| --- | --- | " + " | ".join("---" for _ in cols) + " |"]
     for name, op in CATALOG.items():
