@@ -1,8 +1,16 @@
 """Physical-plan checks: the rewrites keep the shapes we designed for."""
 
+import re
+import tempfile
+from decimal import Decimal
+
 from conftest import SF_SMALL
+from rows import raw_rows
 from txnlens.operators import customers, features, geography, transactions, velocity
-from txnlens.plans.catalog import fixture_stages
+from txnlens.plans.catalog import Stages, fixture_stages
+from txnlens.plans.inspect import plan_text
+from txnlens.sources.fixture import COMPILED_METHOD
+from txnlens.sources.raw import read_raw_parquet
 
 
 def plan(df):
@@ -50,6 +58,42 @@ def test_percentiles_shuffle_counts_only(spark):
             assert "HashAggregate" in below or "Union" in below or "Exchange" in below, below
 
 
+def test_percentile_reports_derive_their_rows_once(spark):
+    """The scans of the percentiles read the rows written for them, not what these are derived from."""
+    d = tempfile.mkdtemp(prefix="txnlens-test-once-")
+    raw_rows(spark, *[dict(amt=10.0 * (i + 1), merch_lat=Decimal("40.1") + i, is_fraud=i % 2) for i in range(4)]).write.mode("overwrite").parquet(d)
+    stages = Stages(read_raw_parquet(spark, d))
+    distances = geography.distance_stats(stages.get("features"))
+    amounts = transactions.amount_distribution(stages.get("features"))
+    assert d not in plan_text(distances) and d not in plan_text(amounts)
+    # the statistics of amount_features are beside the rows themselves, which are scanned once more
+    assert plan_text(features.amount_features(stages.get("validated"))).count(d) == 1
+    assert sorted((r.is_fraud, r.txn_count, round(r.median_distance_km - (r.min_distance_km + r.max_distance_km) / 2)) for r in distances.collect()) == [(0, 2, 0), (1, 2, 0)]
+    assert sorted((r.is_fraud, float(r.median_amount)) for r in amounts.collect()) == [(0, 20.0), (1, 30.0)]
+
+
+def test_long_methods_are_not_left_to_the_interpreter(spark):
+    """Filters over derived event columns are one method of more than HotSpot compiles; results are those of that method."""
+    d = tempfile.mkdtemp(prefix="txnlens-test-events-")
+    events = spark.range(400).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) as ts", "id % 30 as user_id", "if(id % 9 = 0, 'error', 'view') as event_type",
+        "id * 1.5D as value", "concat('{\"k\": ', id % 100, '}') as props")
+    events.write.parquet(f"{d}/events.parquet")
+    held = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        f = features.row_features(fixture_stages(spark, d).get("validated"))
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == str(COMPILED_METHOD)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", f._jdf.queryExecution().explainString(mode))]
+        assert max(sizes) > COMPILED_METHOD
+        short = sorted(map(str, f.collect()))
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        assert short and short == sorted(map(str, f.select("*").collect()))
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", held)
+
+
 def test_amount_features_broadcast_is_checked(spark):
     v = fixture_stages(spark, SF_SMALL).get("validated")
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -83,5 +83,12 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
+#: HotSpot compiles no method with more bytes of bytecode than this.
+COMPILED_METHOD = 8000
+
+
 def raw_transactions(spark: SparkSession, sf_dir: str, with_duplicates: bool = False) -> DataFrame:
+    # Filters on derived columns become one long method over the event's columns, which the JVM
+    # would interpret; above this length Spark evaluates in short ones.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED_METHOD))
     return raw_from_events(load_events(spark, sf_dir), with_duplicates)
