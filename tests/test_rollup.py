@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from rows import raw_rows
 from txnlens.operators import rollup, transactions
 from txnlens.operators.features import row_features
-from txnlens.plans.catalog import CATALOG, fixture_stages
+from txnlens.plans.catalog import CATALOG, Stages, fixture_stages
 from txnlens.plans.rollup import RollupStore
 from txnlens.sources.manifest import ConcurrentCommit, ManifestTable
 
@@ -139,6 +140,21 @@ def test_repeat_compact_and_vacuum(spark, features):
     assert {n: rows(held.report(n)) for n in names} == want
 
 
+def test_a_load_derives_its_rows_once(spark):
+    f = row_features(Stages(raw_rows(spark, *[dict(merchant=f"fraud_Shop_{i % 3}", amt=5.0 + i) for i in range(8)])).get("validated"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(city):
+        seen.add(1)
+        return city
+
+    held = RollupStore(spark, fresh(), ["customer_summary"])
+    held.load("one", f.withColumn("city", F.udf(mark, "string")("city")))
+    assert seen.value == 8
+    (row,) = held.report("customer_summary").collect()
+    assert (row.city, row.total_transactions, float(row.total_spend), row.unique_categories, row.unique_merchants) == ("Town", 8, 68.0, 1, 3)
+
+
 def test_row_features_need_no_other_rows(spark, features):
     v = fixture_stages(spark, SF_SMALL).get("validated")
     assert sorted(rows(row_features(v).select(*[c for c in features.columns if c != "amount_z_score"])), key=str) == sorted(rows(features.drop("amount_z_score")), key=str)

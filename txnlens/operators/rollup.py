@@ -45,6 +45,15 @@ PARTS: dict[str, tuple[Callable[[], Column], Callable[[str], Column]]] = {
     "high": (lambda: F.max("amount"), F.max),
 }
 
+#: The columns of a feature row that each part reads.
+PART_READS: dict[str, tuple[str, ...]] = {
+    "n": (), "fraud": ("is_fraud",), "value": ("amount",), "value_n": ("amount",), "squares": ("amount",),
+    **dict.fromkeys(("fraud_value", "fraud_value_n", "legit_value", "legit_value_n"), ("is_fraud", "amount")),
+    "min_age": ("customer_age",), "km": ("geo_distance_km",), "km_n": ("geo_distance_km",), "first": (DAY,), "last": (DAY,), "low": ("amount",), "high": ("amount",),
+}
+#: Keys that are not a column of their name -> the column they are made of.
+KEY_READS = {"month": DAY, "age_group": "customer_age"}
+
 
 def _money(c: str) -> Column:
     return F.round(F.col(c), 2)
@@ -182,6 +191,14 @@ def dictionary_columns(names) -> list[str]:
     return sorted({c for n in names for c in rollup(n).distinct.values()})
 
 
+def columns_read(names) -> list[str]:
+    """The columns of a feature row that the reports ``names`` read, in order."""
+    found = {DAY, *dictionary_columns(names)}
+    for r in map(rollup, names):
+        found |= {KEY_READS.get(k, k) for k in r.keys} | {c for p in r.parts for c in PART_READS[p]}
+    return sorted(found)
+
+
 def _keyed(f: DataFrame, r: Rollup) -> DataFrame:
     """Feature rows with the report's keys as ``k_<name>``: a key may be named as a column of another meaning."""
     return f.withColumns({f"k_{name}": c for name, c in r.keys.items()})

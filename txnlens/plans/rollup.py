@@ -1,6 +1,6 @@
 """Reports kept up to date: a store of day partials that grows by loads.
 
-A load reads only its own new files.  Its rows become day partials (``operators.rollup``), which are
+A load reads only its own new files, and these once: the columns that its reports read are staged first.  Its rows become day partials (``operators.rollup``), which are
 committed together by one manifest: a load that dies leaves the store as it was, and a
 load that is repeated under its name replaces itself.  A report reads the partials of all
 loads, never rows.  ``compact`` merges the partials of many loads into one row a day and key.
@@ -55,6 +55,8 @@ class RollupStore:
             raise ValueError("the name of a load must not hold '/'")
         versions, parts = self.table.versions(), self.table.parts()
         after = versions[-1] if versions else 0
+        # every dictionary and partial scans the rows, which may be long to derive; the staged copy is in no manifest
+        features = self._read([self.table.stage(features.select(*rollup.columns_read(self.names)))])
         staged, numbers = {}, {}
         for column in rollup.dictionary_columns(self.names):
             old = self._folders(parts, "dictionary", column)
