@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from txnlens.llm import embedding_dedup, html_extract, language, quality
+from txnlens.llm import embedding_dedup, html_extract, language, quality, suffix_dedup
 
 MID = "/root/testdata/sf0.01"
 
@@ -215,3 +215,14 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.benchmark(spark, probe, MID).collect()} == {2, None, 3}
     assert corpus_pipeline.benchmark(spark, probe, MID).count() == 3
     assert corpus_pipeline.tokens(spark, probe, MID).count() == 4
+
+
+def test_pipeline_cuts_in_one_python_step(spark):
+    """repeated_bytes decodes where it cuts: a second step in Python doubled the workers beside each executor's JVM."""
+    base = "".join(f"word{k} " for k in range(70))
+    docs = spark.createDataFrame([(1, "é" + base), (2, "ĩ" + base), (3, "short"), (4, None), (4, ""), (None, "ü")], "doc_id long, text string")
+    found = corpus_pipeline.repeated_bytes(spark, docs, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    # é and ĩ share their last byte, which goes with the cut and leaves half a character
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == [(1, ""), (2, ""), (3, "short"), (4, ""), (4, ""), (None, "ü")]
+    assert dict(suffix_dedup.suffix_dedup(docs, ["doc_id"]).dtypes)["kept"] == "binary"
